@@ -42,3 +42,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = os.path.join(tempfile.gettempdir(), f"meshloom-checkpoint-{os.getpid()}")
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir()
+
+
+def materialise(df):
+    """Writes a result to the checkpoint folder and reads it back, so later steps share one computation and survive lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df, max_rows: int):
+    """A materialised side as a broadcast hint if it has at most ``max_rows`` rows, else as it is (a shuffle join then handles it)."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
