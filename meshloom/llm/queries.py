@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read
-from . import boilerplate, bpe
+from . import boilerplate, bpe, vectors
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,11 +16,15 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.without_repeated_lines(read(spark, folder, "pages"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.similar_pairs(read(spark, folder, "pages"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(read(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p7_ids": p7_ids}
 
 _LINES = r"""
 WITH rows AS (
