@@ -20,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import broadcast_if_small, materialise
 
 
 @dataclass(frozen=True)
 class TreeConfig:
     """``sample_rows``: rows the tree is fitted on. ``leaf_rows``: rows a leaf should hold; ``max_leaves`` bounds the leaves, and
-    with them what is collected and broadcast. ``queries``: rows answered exactly for the calibration. ``recall``: share of true
-    neighbours to be reached. ``block_rows``, ``block_queries``: leaves with more are split into blocks of tasks."""
+    with them what is broadcast. ``cell_rows``: rows of a group of leaves searched together. ``queries``: rows answered exactly for the calibration. ``recall``: share of true
+    neighbours to be reached. ``block_rows``, ``block_queries``: cells with more members or queries are
+    split into blocks. ``broadcast_rows``: ids of spare copies broadcast at most; more are joined by a shuffle."""
 
     dim: int = 64
     k: int = 5
@@ -36,10 +37,12 @@ class TreeConfig:
     max_leaves: int = 12_000
     branching: int = 16
     queries: int = 400
-    recall: float = 0.999
+    recall: float = 0.995
     max_visits: int = 64
+    cell_rows: int = 4_096
     block_rows: int = 16_384
     block_queries: int = 65_536
+    broadcast_rows: int = 500_000
     seed: int = 11
 
 
@@ -199,60 +202,133 @@ def nearest(vectors: DataFrame, config: TreeConfig = TreeConfig(), id_col: str =
     total = classes.count()
     if not total:
         return spark.createDataFrame([], "id bigint, neighbour bigint, sim float")
-    reps = rows.join(classes.select(F.col("ids")[0].alias("id")), "id", "left_semi").select("id", "vec")
+    several = classes.where("n > 1")
+    spare = materialise(rows.select("id", "h").join(broadcast_if_small(several, c.broadcast_rows).select("h", F.col("ids")[0].alias("rep")), "h").where("id <> rep").select("id"))
+    reps = rows.select("id", "vec").join(broadcast_if_small(spare, c.broadcast_rows), "id", "left_anti")
 
-    sample = reps.orderBy(F.xxhash64("id")).limit(c.sample_rows).select("id", "vec").toArrow()
+    sample = reps.orderBy(F.xxhash64("id")).limit(c.sample_rows).toArrow()
     x, ids = _matrix(sample.column("vec"), c.dim), sample.column("id").to_numpy()
     order = np.argsort(ids)  # the order rows arrive in must not matter
     x, ids = x[order], ids[order]
     tree = fit_tree(x, c.leaf_rows * len(x) / total, c.branching, c.max_leaves, c.seed)
-    asked = np.random.default_rng(c.seed).permutation(len(x))[: c.queries]
+    picked = np.random.default_rng(c.seed).permutation(len(x))
+    asked = picked[: c.queries]
     visits = _calibrate(reps, tree, x[asked], ids[asked], c) if tree.leaves > 1 else 1
-
-    shared = spark.sparkContext.broadcast(tree)
+    layout = _layout(tree, x, x[picked[:5000]], visits, total, c)
+    shared = spark.sparkContext.broadcast((tree, layout))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, layout = shared.value
         for b in batches:
-            m = _matrix(b.column(1), c.dim)
-            seen = shared.value.visit(m, visits)
-            good = seen >= 0
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(good.sum(1))]).astype(np.int32)), pa.array(seen[good]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.assign(m).astype(np.int32)), lists], names=["id", "vec", "leaf", "leaves"])
-
-    index = materialise(reps.mapInArrow(place, "id bigint, vec array<float>, leaf int, leaves array<int>"))
-    held = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # no more rows than leaves
-    asking = {r["leaf"]: r["n"] for r in index.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    split = [(leaf, math.ceil(held[leaf] / c.block_rows), math.ceil(asking.get(leaf, 1) / c.block_queries)) for leaf in held]
-    blocks = F.broadcast(spark.createDataFrame(split, "leaf int, m_blocks int, q_blocks int"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    one = lambda *blocks_of: [*blocks_of, F.col("id").alias("id_"), F.col("vec").alias("vec_")]  # noqa: E731 - each side of the cogroup has columns of its own
-    members = index.join(blocks, "leaf").select(F.col("leaf").alias("leaf_"), *one(own("m_blocks").alias("m_"), every("q_blocks").alias("q_")))
-    queries = index.select("id", "vec", F.explode("leaves").alias("leaf")).join(blocks, "leaf").select("leaf", *one(every("m_blocks").alias("m"), own("q_blocks").alias("q")))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, m = _matrix(left.column("vec_"), c.dim), _matrix(right.column("vec_"), c.dim)
-        qid, mid = left.column("id_").to_numpy(), right.column("id_").to_numpy()
-        out_q, out_n, out_s = [], [], []
-        for a in range(0, len(q) if len(m) else 0, 512):
-            sims = q[a : a + 512] @ m.T
-            sims[qid[a : a + 512, None] == mid[None, :]] = -2
-            best = _best(sims, c.k)
-            own_sims = np.take_along_axis(sims, best, 1)
-            good = own_sims > -2
-            out_q.append(np.repeat(qid[a : a + 512], good.sum(1)))
-            out_n.append(mid[best][good])
-            out_s.append(own_sims[good])
-        cat = lambda x, kind: pa.array(np.concatenate(x) if x else np.empty(0, kind))
-        return pa.table({"id": cat(out_q, np.int64), "neighbour": cat(out_n, np.int64), "sim": cat(out_s, np.float32)})
-
-    partial = queries.groupBy("leaf", "m", "q").cogroup(members.groupBy("leaf_", "m_", "q_")).applyInArrow(search, "id bigint, neighbour bigint, sim float")
-    # a query has k rows from each block it visited, a number that doesn't grow with the data's copies
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), F.col("neighbour")))), 1, c.k)
-    others = partial.groupBy("id").agg(ranked.alias("near"))
+            if b.num_rows:
+                yield layout.spread(tree, visits, b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1), c.dim))
+
+    def search(group: pa.Table) -> pa.Table:
+        m, ids = _matrix(group.column("vec"), c.dim), group.column("id").to_numpy()
+        return _search(ids, m, group.column("leaf").to_numpy(), group.column("leaves").combine_chunks(), c.k)
+
+    placed = reps.mapInArrow(place, "cell int, m int, q int, id bigint, vec array<float>, leaf int, leaves array<int>")
+    partial = placed.groupBy("cell", "m", "q").applyInArrow(search, "id bigint, near array<struct<far:float,neighbour:bigint>>")
+    # a row has k neighbours from each group it was sent to, a number that doesn't grow with copies
+    others = partial.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, c.k).alias("near"))
     return _with_copies(rows, classes, others, c.k)
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Which cell of neighbouring leaves each leaf is in, and into how many blocks of members and of queries each cell is split."""
+
+    cell: np.ndarray
+    m_blocks: np.ndarray
+    q_blocks: np.ndarray
+
+    def spread(self, tree: Tree, visits: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        """Each row once for each group that it belongs to as a member or asks as a query; in its own group one copy serves as both.
+
+        ``leaf`` is the row's leaf where it is a member, else -1; ``leaves`` are those it asks there.
+        """
+        own = tree.assign(x)
+        seen = tree.visit(x, visits).astype(np.int64)
+        seen[~(seen == own[:, None]).any(1), -1] = own[~(seen == own[:, None]).any(1)]
+        row, column = np.nonzero(seen >= 0)
+        leaf = seen[row, column]
+        cell = self.cell[leaf]
+        order = np.lexsort((cell, row))
+        row, leaf, cell = row[order], leaf[order], cell[order]
+        start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])]))
+        size = np.diff(np.concatenate([start, [len(row)]]))
+        g_row, g_cell = row[start], cell[start]
+        mixed = (ids[g_row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        nm, nq = self.m_blocks[g_cell], self.q_blocks[g_cell]
+        my_m, my_q = (mixed % nm.astype(np.uint64)).astype(np.int64), ((mixed >> np.uint64(8)) % nq.astype(np.uint64)).astype(np.int64)
+        home = g_cell == self.cell[own[g_row]]
+        # as a query: every block of members; as a member, besides: every other block of queries
+        copies = nm + np.where(home, nq - 1, 0)
+        at = np.repeat(np.arange(len(start)), copies)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+        asks = k < nm[at]
+        j = k - nm[at]
+        m = np.where(asks, k, my_m[at])
+        q = np.where(asks, my_q[at], j + (j >= my_q[at]))
+        member = home[at] & (m == my_m[at])
+        lengths = np.where(asks, size[at], 0)
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        flat = leaf[np.repeat(start[at], lengths) + np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths)]
+        i32 = lambda v: pa.array(v.astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [i32(g_cell[at]), i32(m), i32(q), pa.array(ids[g_row[at]]), _lists(x[g_row[at]]), i32(np.where(member, own[g_row[at]], -1)), pa.ListArray.from_arrays(i32(offsets), i32(flat))],
+            names=["cell", "m", "q", "id", "vec", "leaf", "leaves"],
+        )
+
+
+def _layout(tree: Tree, x: np.ndarray, asking: np.ndarray, visits: int, total: int, c: TreeConfig) -> Layout:
+    """Groups neighbouring leaves into cells of about ``cell_rows`` rows, by the sample's share of each leaf, and splits the large ones."""
+    rows = np.bincount(tree.assign(x), minlength=tree.leaves) * (total / len(x))
+    cell = (np.cumsum(rows) - rows / 2) // c.cell_rows
+    cell = np.unique(cell, return_inverse=True)[1]
+    seen = tree.visit(asking, visits)
+    held = np.bincount(cell, weights=rows)
+    asked = np.bincount(cell[seen[seen >= 0]], minlength=len(held)) * (total / len(asking))
+    blocks = lambda n, most: np.maximum(np.ceil(n / most), 1).astype(np.int64)
+    return Layout(cell, blocks(held, c.block_rows), blocks(asked, c.block_queries))
+
+
+def _search(ids: np.ndarray, x: np.ndarray, leaf: np.ndarray, leaves: pa.ListArray, k: int) -> pa.Table:
+    """The k most similar members for each row that asks, leaf by leaf."""
+    counts = np.diff(leaves.offsets.to_numpy())
+    wanted = leaves.flatten().to_numpy(zero_copy_only=False)
+    asker = np.repeat(np.arange(len(ids)), counts)
+    member = np.flatnonzero(leaf >= 0)
+    of_leaf = {one: member[rows] for one, rows in _groups(leaf[member])}
+    rows_out, near_out, sims_out = [], [], []
+    for one, rows in _groups(wanted):
+        if one not in of_leaf:
+            continue
+        mine = of_leaf[one]
+        for a in range(0, len(rows), 512):
+            q = asker[rows[a : a + 512]]
+            for part in np.array_split(mine, max(1, len(mine) >> 14)):
+                sims = x[q] @ x[part].T
+                sims[q[:, None] == part[None, :]] = -2
+                best = _best(sims, k)
+                own = np.take_along_axis(sims, best, 1)
+                good = own > -2
+                rows_out.append(np.repeat(q, good.sum(1)))
+                near_out.append(part[best][good])
+                sims_out.append(own[good])
+    cat = lambda v, kind: np.concatenate(v) if v else np.empty(0, kind)
+    q, near, sims = cat(rows_out, np.int64), ids[cat(near_out, np.int64)], cat(sims_out, np.float32)
+    order = np.lexsort((near, -sims, q))
+    q, near, sims = q[order], near[order], sims[order]
+    start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.empty(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(start, np.diff(np.concatenate([start, [len(q)]]))) if len(q) else q
+    top = place < k
+    q, near, sims = q[top], near[top], sims[top]
+    askers, size = np.unique(q, return_counts=True)
+    pairs = pa.StructArray.from_arrays([pa.array(-sims), pa.array(near)], names=["far", "neighbour"])
+    return pa.table({"id": pa.array(ids[askers]), "near": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pairs)})
+
+
 def _with_copies(rows: DataFrame, classes: DataFrame, others: DataFrame, k: int) -> DataFrame:
     """Neighbours of every row from those of one row a distinct vector: its own copies first, then the copies of the classes near by."""
     of_class = classes.select(F.col("ids")[0].alias("rep"), "ids")
