@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read
-from . import boilerplate, bpe, vectors
+from . import boilerplate, bpe, spam, vectors
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,11 +20,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.similar_pairs(read(spark, folder, "pages"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.spam_pages(read(spark, folder, "pages"), read(spark, folder, "links")).distinct()
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(read(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p5_found": p5_found, "p7_ids": p7_ids}
 
 _LINES = r"""
 WITH rows AS (
