@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read
-from . import boilerplate, bpe, spam, vectors
+from . import boilerplate, bpe, langid, spam, vectors
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,11 +24,23 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(read(spark, folder, "pages"), read(spark, folder, "links")).distinct()
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages")
+    return langid.wrong_or_mixed(pages, spam.spam_pages(pages, read(spark, folder, "links"))).distinct()
+
+
+def p6_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stretch of every good page: ``id, start, stop, lang, confidence``."""
+    pages = read(spark, folder, "pages")
+    parts = langid.segments(langid.labelled_pages(pages), langid.fit(pages.where("ok")))
+    return parts.selectExpr("id", "inline(parts)")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(read(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p5_found": p5_found, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_ids": p7_ids}
 
 _LINES = r"""
 WITH rows AS (
