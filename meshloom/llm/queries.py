@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read
-from . import boilerplate, bpe, langid, spam, vectors
+from . import boilerplate, bpe, langid, leakage, spam, vectors
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +40,11 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(read(spark, folder, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_ids": p7_ids}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(read(spark, folder, "documents"), read(spark, folder, "eval_items")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_ids": p7_ids, "p8_found": p8_found}
 
 _LINES = r"""
 WITH rows AS (
