@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read
-from . import boilerplate, bpe, langid, leakage, spam, vectors
+from . import boilerplate, bpe, langid, leakage, pii, spam, vectors
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,7 +44,20 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(read(spark, folder, "documents"), read(spark, folder, "eval_items")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_ids": p7_ids, "p8_found": p8_found}
+def _names(spark: SparkSession, folder: str) -> pii.Names:
+    return pii.widen(pii.learn_names(read(spark, folder, "name_hints")), read(spark, folder, "documents"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.entities(read(spark, folder, "documents"), _names(spark, folder)).select("doc_id", "kind", "hit").distinct()
+
+
+def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text with each item replaced by ``<kind:surrogate>``. The key of the surrogates is a parameter; this one is for tests."""
+    return pii.redact(read(spark, folder, "documents"), _names(spark, folder), secret="meshloom")
+
+
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 _LINES = r"""
 WITH rows AS (
