@@ -41,7 +41,7 @@ class LeakConfig:
 _DROPPED = re.compile("[­̀-ͯ​-‏⁠-⁤︀-️﻿]")
 _JOINED = re.compile(r"(?<=\w)['’‘`ʼ\-‐-‒](?=\w)")
 _WORD = re.compile(r"[^\W_]+")
-_MIXED = re.compile(r"(?=\w*[a-z])\w*[Ͱ-ӿ]\w*")
+_MIXED = re.compile(r"[a-z][Ͱ-ӿ]|[Ͱ-ӿ][a-z]")
 # Letters of other scripts that look like Latin ones, and the letters they look like.
 _LOOKS = str.maketrans("аеіјорсухѕԁһӏαεικνορτυχ", "aeijopcyxsdhlaeikvoptux")
 
@@ -54,7 +54,7 @@ def words(text: str | None) -> list[str]:
         text = _DROPPED.sub("", unicodedata.normalize("NFKD", text))
         text = text.casefold()
         if _MIXED.search(text):
-            text = _MIXED.sub(lambda m: m[0].translate(_LOOKS), text)
+            text = _WORD.sub(lambda m: m[0].translate(_LOOKS) if _MIXED.search(m[0]) else m[0], text)
     else:
         text = text.lower()
     return _WORD.findall(_JOINED.sub("", text))
@@ -100,6 +100,7 @@ class Items:
     keys: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    present: np.ndarray
 
     @classmethod
     def build(cls, ids: list[int], texts: list[str]) -> Items:
@@ -108,7 +109,10 @@ class Items:
         order = np.argsort(keys, kind="stable")
         keys, places = keys[order], places[order]
         item = np.searchsorted(starts, places, side="right") - 1
-        return cls(np.array(ids, dtype=np.int64), hashes, starts, keys, item, places - starts[item])
+        size = 1 << max(16, int(np.ceil(np.log2(len(keys) * 16 + 1))))  # a bit map of the hashes' low ends, to pass over most seeds that hit nothing
+        present = np.zeros(size, dtype=bool)
+        present[(keys & np.uint64(size - 1)).astype(np.int64)] = True
+        return cls(np.array(ids, dtype=np.int64), hashes, starts, keys, item, places - starts[item], present)
 
 
 def longest_run(a: np.ndarray, b: np.ndarray, shifts: np.ndarray) -> int:
@@ -153,6 +157,8 @@ def find(texts: list[str | None], items: Items, c: LeakConfig) -> list[tuple[int
     """Pairs of the index of a text and an item of which it holds a passage."""
     hashes, starts = hash_words([words(t) for t in texts])
     keys, places = seeds(hashes, starts)
+    maybe = items.present[(keys & np.uint64(len(items.present) - 1)).astype(np.int64)]
+    keys, places = keys[maybe], places[maybe]
     low = np.searchsorted(items.keys, keys, side="left")
     hit = np.flatnonzero((low < len(items.keys)) & (items.keys[np.minimum(low, max(len(items.keys) - 1, 0))] == keys)) if len(items.keys) else np.empty(0, np.int64)
     if not len(hit):
@@ -187,8 +193,12 @@ def _mostly(own: np.ndarray, doc: np.ndarray, shifts: np.ndarray, c: LeakConfig)
     cuts = [0, *(np.flatnonzero(np.diff(shifts) > reach) + 1), len(shifts)]
     for a, b in zip(cuts, cuts[1:]):
         low, high = max(0, shifts[a] - reach), min(len(doc), shifts[b - 1] + len(own) + reach)
-        passage = doc[low:high]
-        if np.isin(own, passage).sum() >= need and aligned_words(own, passage, c) >= need:
+        # words that agree along any of the shifts; what an alignment finds beside them is a few words between two gaps
+        agree = np.zeros(len(own), dtype=bool)
+        for s in shifts[a:b]:
+            x, y = max(0, -s), min(len(own), len(doc) - s)
+            agree[x:y] |= own[x:y] == doc[x + s : y + s]
+        if agree.sum() >= 0.8 * need and aligned_words(own, doc[low:high], c) >= need:
             return True
     return False
 
