@@ -38,9 +38,9 @@ def query_hash(q: Column) -> Column:
     return hash16(F.nullif(normalize_query(q), F.lit("")))
 
 
-def visitor_id(raw: Column) -> Column:
-    """An opaque id of a visitor; null for an empty one."""
-    return hash16(F.concat(F.lit("beaconrum:"), F.nullif(raw, F.lit(""))))
+def visitor_id(raw: Column, salt: str = "visitor:") -> Column:
+    """An opaque id of a visitor, salted; null for an empty one."""
+    return hash16(F.concat(F.lit(salt), F.nullif(raw, F.lit(""))))
 
 
 def content_hash(text: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core_problems
+from . import analytics_queries, core_problems
 
-_MODULES = (core_problems,)
+_MODULES = (core_problems, analytics_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
