@@ -33,12 +33,15 @@ def weighted_words(title: Column, headings: Column, anchors: Column, description
     fields = [tokens(F.coalesce(c, empty)) for c in (title, second, description, content)]
     parts, offset = [], F.lit(0)
     for words, w in zip(fields, WEIGHTS):
-        start = offset
-        parts.append(F.transform(words, lambda x, i, start=start, w=w: F.struct(x.alias("lexeme"), (start + i + 1).alias("pos"), F.lit(w).alias("w"))))
+        parts.append(_placed(words, offset, w))
         offset = offset + F.size(words)
     return F.concat(*parts)
 
 
+def _placed(words: Column, offset: Column, w: float) -> Column:
+    return F.transform(words, lambda x, i: F.struct(x.alias("lexeme"), (offset + i + 1).alias("pos"), F.lit(w).alias("w")))
+
+
 _VOWELS = "aeiouy"
 _DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
 # Words that the published algorithm treats by themselves.

@@ -128,7 +128,7 @@ def lexical(pages: DataFrame, requests: list[Request], lexeme=lambda w: w) -> Da
                     if (types[qid] is None or types[qid] == kind) and any(all(f.excluded or have.issuperset(f.words) for f in a) for a in q.alternatives):
                         match, rel = cover_rank(q, xs, ps, ws)
                         if match:
-                            out.append((qid, url, rel))
+                            out.append((qid, url, round(rel, 6)))  # sums in another order must not reorder equals
             yield pd.DataFrame(out, columns=["qid", "url", "rel"])
 
     return hits.mapInPandas(run, "qid bigint, url string, rel double")

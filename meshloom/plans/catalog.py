@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics_queries, core_problems
+from . import analytics_queries, core_problems, search_queries
 
-_MODULES = (core_problems, analytics_queries)
+_MODULES = (core_problems, analytics_queries, search_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return queries()["p4_found"](spark, folder)
+    return search_queries.search(spark, folder)
