@@ -158,12 +158,13 @@ def repeated_lines(pages: DataFrame, min_rows: int = 5, min_share: float = 0.1)
     share an id count as rows of their own. Letters are compared through 128 bits of hash.
     """
     usable = pages.select("id", source_of(F.col("node_hash"), F.col("url")).alias("source"), "content").where(F.col("content") != "")
-    lines = materialise(chunked_lines(usable.withColumn("source", F.coalesce("source", F.lit("")))))
+    # rows are numbered before they're written, as rows of equal ids count apart, and not again for each line
+    lines = materialise(chunked_lines(usable.withColumn("source", F.coalesce("source", F.lit("")))).withColumn("row", F.monotonically_increasing_id()))
 
     # one row a document and chunk goes out, so the count is one of distinct documents and is combined before the shuffle
     chunks = lines.select("source", F.explode(F.array_distinct(F.transform("lines", lambda x: x["chunk"]))).alias("chunk"))
     common = materialise(chunks.groupBy("source", "chunk").count().where(F.col("count") >= min_rows).select("source", "chunk"))
-    rows = lines.select("id", "source", F.monotonically_increasing_id().alias("row"), F.inline("lines"))
+    rows = lines.select("id", "source", "row", F.inline("lines"))
     maybe = rows.join(broadcast_if_small(common, BROADCAST_ROWS), ["source", "chunk"], "left_semi")
 
     total = lines.groupBy("source").agg(F.count(F.lit(1)).alias("total"))
