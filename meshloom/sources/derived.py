@@ -31,10 +31,15 @@ def searches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latest_pages(pages: DataFrame) -> DataFrame:
-    """One row a url: the latest fetch, the largest id where two share the time. An aggregation, so no url is sorted in one task."""
-    columns = [c for c in pages.columns if c != "url"]
-    newest = F.max_by(F.struct(*columns), F.struct("fetched_at", "id")).alias("x")
-    return pages.where(F.col("url").isNotNull()).groupBy("url").agg(newest).select("url", *[F.col(f"x.{c}").alias(c) for c in columns])
+    """One row a url: the latest fetch, the largest id where two share the time.
+
+    Which rows are older is worked out on three narrow columns; the wide ones are read once, pruned to
+    what the caller uses, and meet only the ids of the older rows.
+    """
+    narrow = pages.where(F.col("url").isNotNull()).select("url", F.struct("fetched_at", "id").alias("at"))
+    newest = narrow.groupBy("url").agg(F.max("at").alias("newest"))
+    older = narrow.join(newest, "url").where(F.col("at") != F.col("newest")).select(F.col("at.id").alias("id"))
+    return pages.where(F.col("url").isNotNull()).join(older, "id", "left_anti")
 
 
 def crawl_queue(spark: SparkSession, folder: str, as_of: datetime) -> DataFrame:
