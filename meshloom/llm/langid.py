@@ -44,7 +44,7 @@ UNKNOWN = "und undefined undetermined unknown n/a na none null ? ?? - mul mis zx
 class LangConfig:
     """``sample_rows``: labelled rows the machines are trained on, at most this many of each language. ``sentences``: training
     sentences of each language. ``bits``: of the n-gram hash. ``switch``: cost of a change of language between sentences.
-    ``stretch``: characters from which a further language counts."""
+    ``stretch``: characters from which a further language counts. ``sure``: confidence that it takes to contradict a label."""
 
     sample_rows: int = 250
     sentences: int = 700
@@ -53,6 +53,7 @@ class LangConfig:
     penalty: float = 1e-4
     switch: float = 6.0
     stretch: int = 80
+    sure: float = 0.95
 
 
 def label_language(label: Column) -> Column:
@@ -367,5 +368,6 @@ def document_languages(pages: DataFrame, c: LangConfig = LangConfig(), machines:
 def wrong_or_mixed(pages: DataFrame, spam: DataFrame, c: LangConfig = LangConfig()) -> DataFrame:
     """``id, lang`` of the rows whose label is missing or wrong, and one for each language of the mixed ones; rows in ``spam`` are left out."""
     found = document_languages(pages, c).join(spam.select("id"), "id", "left_anti")
-    case = (F.size("langs") > 1) | F.col("label").isNull() | (F.col("label") != F.col("main"))
+    wrong = (F.col("label") != F.col("main")) & (F.col("confidence") >= c.sure)
+    case = (F.size("langs") > 1) | F.col("label").isNull() | wrong
     return found.where(case).select("id", F.explode("langs").alias("lang"))
