@@ -26,7 +26,8 @@ from ..session import broadcast_if_small, materialise
 @dataclass(frozen=True)
 class TreeConfig:
     """``sample_rows``: rows the tree is fitted on. ``leaf_rows``: rows a leaf should hold; ``max_leaves`` bounds the leaves, and
-    with them what is broadcast. ``cell_rows``: rows of a group of leaves searched together. ``queries``: rows answered exactly for the calibration. ``recall``: share of true
+    with them what is broadcast. ``first_visits``: leaves
+    looked at first when visits are calibrated. ``cell_rows``: rows, at least, of a group of leaves searched together. ``queries``: rows answered exactly for the calibration. ``recall``: share of true
     neighbours to be reached. ``block_rows``, ``block_queries``: cells with more members or queries are
     split into blocks. ``broadcast_rows``: ids of spare copies broadcast at most; more are joined by a shuffle."""
 
@@ -38,7 +39,7 @@ class TreeConfig:
     branching: int = 16
     queries: int = 400
     recall: float = 0.995
-    max_visits: int = 64
+    first_visits: int = 64
     cell_rows: int = 4_096
     block_rows: int = 16_384
     block_queries: int = 65_536
@@ -284,7 +285,8 @@ class Layout:
 def _layout(tree: Tree, x: np.ndarray, asking: np.ndarray, visits: int, total: int, c: TreeConfig) -> Layout:
     """Groups neighbouring leaves into cells of about ``cell_rows`` rows, by the sample's share of each leaf, and splits the large ones."""
     rows = np.bincount(tree.assign(x), minlength=tree.leaves) * (total / len(x))
-    cell = (np.cumsum(rows) - rows / 2) // c.cell_rows
+    size = max(c.cell_rows, min(8 * c.cell_rows, total // 64))  # some dozens of cells at least, so that there's work for many tasks
+    cell = (np.cumsum(rows) - rows / 2) // size
     cell = np.unique(cell, return_inverse=True)[1]
     seen = tree.visit(asking, visits)
     held = np.bincount(cell, weights=rows)
@@ -369,15 +371,17 @@ def _calibrate(reps: DataFrame, tree: Tree, x: np.ndarray, ids: np.ndarray, c: T
 
     top = F.slice(F.sort_array(F.collect_list(F.struct("sim", "leaf")), asc=False), 1, c.k)
     found = reps.mapInArrow(exact, "q bigint, sim float, leaf bigint").where("sim > -2").groupBy("q").agg(top.alias("top")).collect()  # one row a calibration query
-    order = tree.visit(x, c.max_visits)
-    where = {q: {int(leaf): k for k, leaf in enumerate(row) if leaf >= 0} for q, row in enumerate(order)}
-    ranks = np.array([where[r["q"]].get(int(t["leaf"]), c.max_visits) for r in found for t in r["top"]])
-    if not len(ranks):
-        return 1
-    for visits in range(1, c.max_visits):
-        if (ranks < visits).mean() >= c.recall:
-            return visits
-    return c.max_visits
+    width = c.first_visits
+    while True:  # widened until the recall is reached, at the latest by all leaves
+        order = tree.visit(x, width)
+        where = {q: {int(leaf): k for k, leaf in enumerate(row) if leaf >= 0} for q, row in enumerate(order)}
+        ranks = np.array([where[r["q"]].get(int(t["leaf"]), tree.leaves) for r in found for t in r["top"]])
+        if not len(ranks):
+            return 1
+        need = int(np.sort(ranks)[int(np.ceil(c.recall * len(ranks))) - 1]) + 1
+        if need <= min(width, tree.leaves) or width >= tree.leaves:
+            return min(need, tree.leaves)
+        width *= 4
 
 
 def similar_pairs(vectors: DataFrame, config: TreeConfig = TreeConfig()) -> DataFrame:
