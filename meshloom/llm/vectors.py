@@ -33,12 +33,12 @@ class TreeConfig:
 
     dim: int = 64
     k: int = 5
-    sample_rows: int = 60_000
+    sample_rows: int = 200_000
     leaf_rows: int = 200
     max_leaves: int = 12_000
     branching: int = 16
     queries: int = 400
-    recall: float = 0.995
+    recall: float = 0.99
     first_visits: int = 64
     cell_rows: int = 4_096
     block_rows: int = 16_384
@@ -116,10 +116,11 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     centres = x[rng.choice(len(x), size=k, replace=False)].copy()
     for _ in range(rounds):
         own = ((centres * centres).sum(1)[None, :] - 2 * (x @ centres.T)).argmin(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
+        order = np.argsort(own, kind="stable")
         size = np.bincount(own, minlength=k)
-        centres[size > 0] = sums[size > 0] / size[size > 0, None]
+        full = size > 0
+        sums = np.add.reduceat(x[order], (np.cumsum(size) - size)[full], axis=0)
+        centres[full] = sums / size[full, None]
     own = ((centres * centres).sum(1)[None, :] - 2 * (x @ centres.T)).argmin(1)
     used = np.unique(own)
     return centres[used], np.searchsorted(used, own)
