@@ -288,10 +288,8 @@ def fit(pages: DataFrame, c: LangConfig = LangConfig()) -> Machines:
     from pyspark.sql import Window
 
     labelled = pages.select(label_language(F.col("lang")).alias("label"), "content", F.xxhash64("id", "content").alias("h")).where(F.col("label").isin(*LANGUAGES) & (F.length("content") >= 40))
-    # a bound per task first, so that no task sorts all rows of the most frequent language
-    salted = Window.partitionBy("label", F.pmod("h", F.lit(32))).orderBy("h")
-    few = labelled.select("label", "h", F.row_number().over(salted).alias("rn")).where(F.col("rn") <= c.sample_rows)
-    few = few.select("label", "h", F.row_number().over(Window.partitionBy("label").orderBy("h")).alias("rn")).where(F.col("rn") <= c.sample_rows)
+    # each task keeps no more rows of a language than are wanted in all before any are gathered
+    few = labelled.select("label", "h", F.row_number().over(Window.partitionBy("label").orderBy("h")).alias("rn")).where(F.col("rn") <= c.sample_rows)
     rows = labelled.join(F.broadcast(few.select("label", "h")), ["label", "h"], "left_semi").dropDuplicates(["h"]).orderBy("h").select("label", "content").limit(c.sample_rows * len(LANGUAGES)).collect()
     seeds = [(lang, " ".join(ws[k : k + 6])) for lang, text in FUNCTION_WORDS.items() for ws in [text.split()] for k in range(0, len(ws), 6)]
 

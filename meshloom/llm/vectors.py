@@ -208,7 +208,10 @@ def nearest(vectors: DataFrame, config: TreeConfig = TreeConfig(), id_col: str =
     spare = materialise(rows.select("id", "h").join(broadcast_if_small(several, c.broadcast_rows).select("h", F.col("ids")[0].alias("rep")), "h").where("id <> rep").select("id"))
     reps = rows.select("id", "vec").join(broadcast_if_small(spare, c.broadcast_rows), "id", "left_anti")
 
-    sample = reps.orderBy(F.xxhash64("id")).limit(c.sample_rows).toArrow()
+    # a cut of the hash first, so that no more than a little over the sample is sorted in one place
+    part = math.ceil(min(1.0, (1.05 * c.sample_rows + 1000) / total) * (1 << 30))
+    mixed = F.xxhash64("id", F.lit(c.seed))
+    sample = reps.where(F.pmod(mixed, F.lit(1 << 30)) < part).orderBy(mixed).limit(c.sample_rows).toArrow()
     x, ids = _matrix(sample.column("vec"), c.dim), sample.column("id").to_numpy()
     order = np.argsort(ids)  # the order rows arrive in must not matter
     x, ids = x[order], ids[order]
