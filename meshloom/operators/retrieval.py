@@ -47,17 +47,17 @@ def postings(pages: DataFrame, words: tuple[str, ...] | None = None) -> DataFram
     return found.select("url", F.inline("words"))
 
 
-def rank_any(posts: DataFrame) -> DataFrame:
-    """``url, rel`` for alternatives of one word each: every occurrence is a cover by itself, so the weights add up."""
-    return posts.groupBy("url").agg(F.sum("w").alias("rel"))
+def rank_any(posts: DataFrame, *more: str) -> DataFrame:
+    """``url, rel`` for alternatives of one word each: every occurrence is a cover by itself, so the weights add up. ``more`` columns are keys too."""
+    return posts.groupBy("url", *more).agg(F.sum("w").alias("rel"))
 
 
-def rank_two(posts: DataFrame) -> DataFrame:
+def rank_two(posts: DataFrame, *more: str) -> DataFrame:
     """``url, rel`` for two words that must both occur: the covers are neighbouring occurrences of different words."""
-    by_place = Window.partitionBy("url").orderBy("pos")
-    before = posts.select("url", "lexeme", "pos", "w", F.lag("lexeme").over(by_place).alias("l0"), F.lag("pos").over(by_place).alias("p0"), F.lag("w").over(by_place).alias("w0"))
+    by_place = Window.partitionBy("url", *more).orderBy("pos")
+    before = posts.select("url", *more, "lexeme", "pos", "w", F.lag("lexeme").over(by_place).alias("l0"), F.lag("pos").over(by_place).alias("p0"), F.lag("w").over(by_place).alias("w0"))
     covers = before.where(F.col("l0").isNotNull() & (F.col("l0") != F.col("lexeme")))
-    return covers.groupBy("url").agg(F.sum(F.lit(2.0) / (1 / F.col("w") + 1 / F.col("w0")) / (F.col("pos") - F.col("p0"))).alias("rel"))
+    return covers.groupBy("url", *more).agg(F.sum(F.lit(2.0) / (1 / F.col("w") + 1 / F.col("w0")) / (F.col("pos") - F.col("p0"))).alias("rel"))
 
 
 def cover_rank(query: Query, lexemes: list[str], places: list[int], weights: list[float]) -> tuple[bool, float]:
@@ -117,6 +117,9 @@ def lexical(pages: DataFrame, requests: list[Request], lexeme=lambda w: w) -> Da
     if not any(all(f.excluded for f in a) for q in queries.values() for a in q.alternatives):
         hits = hits.where(F.size("words") > 0)
     types = {r.qid: r.ptype for r in requests}
+    live = {qid: q for qid, q in queries.items() if q.alternatives}
+    if all(q.simple != "other" for q in live.values()):
+        return _plain(hits, live, types)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -134,6 +137,21 @@ def lexical(pages: DataFrame, requests: list[Request], lexeme=lambda w: w) -> Da
     return hits.mapInPandas(run, "qid bigint, url string, rel double")
 
 
+def _plain(hits: DataFrame, queries: dict[int, Query], types: dict[int, str | None]) -> DataFrame:
+    """The closed forms for queries of plain words: sums of weights, and neighbours of different words. No worker is needed."""
+    spark = hits.sparkSession
+    parts = []
+    for kind in ("any", "two"):
+        terms = [(qid, w, types[qid]) for qid, q in queries.items() if q.simple == kind for w in q.wanted]
+        if not terms:
+            continue
+        asked = F.broadcast(spark.createDataFrame(terms, "qid bigint, lexeme string, ptype string"))  # the words of the batch
+        found = hits.select("url", "type", F.inline("words")).join(asked, "lexeme").where(F.col("ptype").isNull() | (F.col("ptype") == F.col("type")))
+        parts.append(rank_any(found, "qid") if kind == "any" else rank_two(found, "qid"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.select("qid", "url", F.round("rel", 6).alias("rel"))
+
+
 def top(rows: DataFrame, by: list[Column], n: int, name: str = "rank") -> DataFrame:
     """The first ``n`` rows of each query, with their place from 0. Each task keeps no more than ``n`` rows a query before the shuffle."""
     place = F.row_number().over(Window.partitionBy("qid").orderBy(*by))

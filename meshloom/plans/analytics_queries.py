@@ -253,6 +253,23 @@ def usable_vectors(spark, folder):
     return read(spark, folder, "pages").select("id", F.coalesce(X.usable_vector(F.col("embedding"), 64), F.lit(False)).alias("usable"))
 
 
+@query("SELECT id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS v FROM pages WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: isnan(x)))")
+def rounded_vectors(spark, folder):
+    e = F.col("embedding")
+    return read(spark, folder, "pages").where(e.isNotNull() & ~F.exists(e, F.isnan)).select("id", X.rounded_vector(e).alias("v"))
+
+
+_SEEDS = ("66e1eb653dc1abeb01280004a4d5f447", "dbe92ec82f53c8ceedbb75d26dafc62d")
+
+
+@query(f"""SELECT DISTINCT from_url, to_url, CASE WHEN to_path = '/page/index.mu' AND to_node_hash IN {_SEEDS} THEN 1 WHEN to_node_hash IN {_SEEDS} OR split_part(from_url, ':', 1) IN {_SEEDS} THEN 2 WHEN to_path = '/page/index.mu' THEN 3 ELSE 6 END AS priority
+FROM links WHERE to_node_hash <> '' AND to_path <> ''""")
+def link_priority(spark, folder):
+    links = read(spark, folder, "links").where((F.col("to_node_hash") != "") & (F.col("to_path") != ""))
+    rank = X.priority(F.substring_index("from_url", ":", 1), F.col("to_node_hash"), F.col("to_path") == "/page/index.mu", frozenset(_SEEDS))
+    return links.select("from_url", "to_url", rank.alias("priority")).distinct()
+
+
 @query(r"SELECT DISTINCT source, title, rtrim(replace(replace(base64(encode(source || chr(10) || title)), '+', '-'), '/', '_'), '=') AS ref FROM documents WHERE title IS NOT NULL")
 def encoded_refs(spark, folder):
     docs = read(spark, folder, "documents").where(F.col("title").isNotNull())
