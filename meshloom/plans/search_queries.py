@@ -125,19 +125,19 @@ def lex_or(spark, folder):
     return _rounded(R.rank_any(R.postings(_pages(spark, folder), ("antenna", "bateria", "relais"))))
 
 
-_TWO = f"""{_POSTS}, n AS (SELECT url, type, lexeme, pos, w, lag(lexeme) OVER v AS l0, lag(pos) OVER v AS p0, lag(w) OVER v AS w0 FROM posts WHERE lexeme IN ('weather', 'beacon') WINDOW v AS (PARTITION BY url ORDER BY pos)),
+_TWO = f"""{_POSTS}, n AS (SELECT url, type, lexeme, pos, w, lag(lexeme) OVER v AS l0, lag(pos) OVER v AS p0, lag(w) OVER v AS w0 FROM posts WHERE lexeme IN ('routing', 'table') WINDOW v AS (PARTITION BY url ORDER BY pos)),
 two AS (SELECT url, any_value(type) AS type, sum(2.0::DOUBLE / (1 / w::DOUBLE + 1 / w0::DOUBLE) / (pos - p0)) AS rel FROM n WHERE l0 <> lexeme GROUP BY url)"""
 
 
 @query(f"WITH {_TWO} SELECT url, round(rel, 5) AS rel FROM two")
 def lex_two_term_and(spark, folder):
-    return _rounded(R.rank_two(R.postings(_pages(spark, folder), ("weather", "beacon"))))
+    return _rounded(R.rank_two(R.postings(_pages(spark, folder), ("routing", "table"))))
 
 
 @query(f"WITH {_TWO} SELECT 1::BIGINT AS qid, url, round(rel, 6) AS rel FROM two")
 def lex_general_two(spark, folder):
     """The general evaluation of a query gives what the closed form does."""
-    return R.lexical(_pages(spark, folder), [R.Request(1, "weather beacon")])
+    return R.lexical(_pages(spark, folder), [R.Request(1, "routing table")])
 
 
 @query(f"WITH {_POSTS} SELECT 1::BIGINT AS qid, url, round(sum(w)::DOUBLE, 5) AS rel FROM posts WHERE lexeme = 'relay' AND url NOT IN (SELECT url FROM posts WHERE lexeme = 'crawler') GROUP BY url")
@@ -169,7 +169,7 @@ def lexicon(spark, folder):
     return R.lexicon(_pages(spark, folder))
 
 
-_ASKED = ["wether beacon", "antena on the roof", "battrey bank", "relay", "solr node", "routng tabel", "crawlers", "der neue ruter"]
+_ASKED = ["harbor staton", "antena on the roof", "battrey bank", "relay", "solr node", "routng tabel", "crawlers", "der neue ruter"]
 _ASKED_SQL = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, '{q}')" for k, q in enumerate(_ASKED)) + ") v(qid, q))"
 _G = "list_distinct(list_transform(range(1, length({c}) + 2), lambda i: substr('  ' || {c} || ' ', i, 3)))"
 _NEAR = f"""tok AS (SELECT qid, unnest(regexp_extract_all(q, '[a-z0-9]+')) AS token, unnest(range(len(regexp_extract_all(q, '[a-z0-9]+')))) AS at_no FROM asked),
@@ -330,7 +330,7 @@ def federated_union(spark, folder):
     return federation.merged(none, hits, read(spark, folder, "links"), clicks).select("url", "title", "score")
 
 
-_FLAGSHIP = ["weather beacon", "recent news antenna", '"bulletin board" or "routing table"', "relay -crawler", "buy antenna", "library"]
+_FLAGSHIP = ["routing table", "recent news antenna", '"bulletin board" or "routing table"', "relay -crawler", "buy antenna", "library"]
 
 
 @query()

@@ -54,4 +54,4 @@ def broadcast_if_small(df, max_rows: int):
     """A materialised side as a broadcast hint if it has at most ``max_rows`` rows, else as it is (a shuffle join then handles it)."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df

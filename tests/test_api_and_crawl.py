@@ -50,11 +50,11 @@ def test_service(spark):
     assert service.handle("{")["err"] == "bad_encoding" and service.handle("[1]")["err"] == "bad_encoding"
     assert service.handle({"op": "__manifest__"})["ok"] and service.handle({"op": "search", "v": 2, "id": 5}) == {"v": 1, "ok": False, "err": "bad_version", "id": 5}
     assert service.handle({"op": "x", "v": 1})["err"] == "bad_op" and service.handle({"op": "search", "v": 1, "q": " "})["err"] == "missing_field"
-    reply = service.handle(json.dumps({"op": "search", "v": 1, "id": 9, "q": "weather beacon", "limit": 99, "offset": -3}))
+    reply = service.handle(json.dumps({"op": "search", "v": 1, "id": 9, "q": "harbour station", "limit": 99, "offset": -3}))
     assert reply["ok"] and reply["id"] == 9 and reply["limit"] == 20 and reply["offset"] == 0 and 0 < len(reply["res"]) <= 20 and reply["total"] >= len(reply["res"])
     assert "content_hash" not in reply["res"][0] and logged[0][0] == "searches" and logged[0][1][0].results == reply["total"]
-    thin = service.handle({"op": "search", "v": 1, "q": "wether becon"})
-    assert thin["total"] == 0 and thin["suggestion"] == "weather beacon"
+    thin = service.handle({"op": "search", "v": 1, "q": "harbor staton"})
+    assert thin["total"] == 0 and thin["suggestion"] == "harbour station"
     assert service.handle({"op": "click", "v": 1, "url": "u"}) == {"v": 1, "ok": True} and logged[-1][0] == "click_events"
     assert known_page(pages, pages.where("ok").first().url) and not known_page(pages, "nowhere")
 
