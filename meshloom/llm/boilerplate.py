@@ -10,6 +10,7 @@ repeated chunks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,12 @@ class Letters:
         return _mix((sums[end] - sums[start]) * self.powers[which][start] + (end - start).astype(np.uint64))
 
 
+@lru_cache(maxsize=1)
+def shared_letters() -> Letters:
+    """The tables of a worker process, made once."""
+    return Letters()
+
+
 def line_chunks(letters: Letters, texts: list[str]) -> tuple[np.ndarray, ...]:
     """Of every line with a letter: index of its text, line number from 1, chunk, and the two hashes of its letters.
 
@@ -113,7 +120,7 @@ def chunked_lines(documents: DataFrame) -> DataFrame:
     """``id, source, lines`` of documents ``id, source, content``: of each line its number, chunk and letter hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = Letters()
+        letters = shared_letters()
         for batch in batches:
             contents = batch.column(2).to_pylist()
             low, size = 0, 0

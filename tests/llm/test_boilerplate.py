@@ -99,3 +99,10 @@ def test_chunks_depend_on_a_lines_letters_alone():
     text, number, chunk, a, b = B.line_chunks(letters, texts)
     at = [k for k in range(len(text)) if (text[k], number[k]) in {(0, 1), (1, 2), (2, 2)}]
     assert len(at) == 3 and len({(chunk[k], a[k], b[k]) for k in at}) == 1
+
+
+def test_the_shuffle_join_gives_the_same(spark, monkeypatch):
+    rows = [(i, "n:/p", "n" if i % 3 else None, f"Boiler plate {i}\nown text {'abcdefghijkl'[i]}\nBOILER-plate") for i in range(12)]
+    want = found(spark, rows)
+    monkeypatch.setattr(B, "BROADCAST_ROWS", -1)
+    assert found(spark, rows) == want == brute(rows)

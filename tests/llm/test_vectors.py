@@ -67,3 +67,12 @@ def test_best_bin_first_reaches_every_leaf():
     tree = V.fit_tree(x, 20, 6, 1000, 1)
     seen = tree.visit(x[:50], tree.leaves)
     assert all(sorted(row) == list(range(tree.leaves)) for row in seen.tolist())
+
+
+def test_the_shuffle_join_gives_the_same(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(30, 64)), 4, axis=0)
+    x[::2] += rng.normal(size=(60, 64)) * 0.1
+    df = spark.createDataFrame([(i, [float(v) for v in row], "") for i, row in enumerate(x)], SCHEMA)
+    a = {tuple(r) for r in V.nearest(df).select("id", "neighbour").collect()}
+    assert a == {tuple(r) for r in V.nearest(df, V.TreeConfig(broadcast_rows=-1)).select("id", "neighbour").collect()}
