@@ -20,7 +20,7 @@ def since(as_of: datetime, interval: str) -> Column:
 
 
 def stats(nodes: DataFrame, pages: DataFrame, links: DataFrame, queue: DataFrame, as_of: datetime) -> DataFrame:
-    """One row of nine counts. Each table is read once; the one-row results are joined."""
+    """One row of nine counts. Each table is read once; its counts are a row of their own columns, and the rows are folded into one."""
     day = since(as_of, "24 HOURS")
     n = nodes.agg(
         F.count(F.lit(1)).alias("nodes"),
@@ -30,10 +30,10 @@ def stats(nodes: DataFrame, pages: DataFrame, links: DataFrame, queue: DataFrame
     p = pages.agg(F.count_if("ok").alias("pages"), F.count_if("md_declared").alias("md_declared"), F.count_if(F.col("fetched_at") > day).alias("fetched_24h"))
     k = links.agg(F.count(F.lit(1)).alias("links"))
     q = queue.agg(F.count_if(F.col("next_attempt") <= at(as_of)).alias("queue_due"), F.count(F.lit(1)).alias("queue_total"))
-    out = n
+    rows = n
     for one in (p, k, q):
-        out = out.join(F.broadcast(one))  # one row each
-    return out
+        rows = rows.unionByName(one, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def categories(pages: DataFrame) -> DataFrame:
@@ -109,9 +109,9 @@ def zero_result_searches(searches: DataFrame, limit: int = 15) -> DataFrame:
 
 def scaled(rows: DataFrame, value: str, width: int, least: int = 1) -> DataFrame:
     """Adds ``px``: the value's share of the largest, as whole pixels of ``width``, at least ``least``."""
-    top = rows.agg(F.max(value).alias("__top"))  # one row, where a window without partitions would gather all
-    px = F.greatest(F.floor(F.col(value) * F.lit(width) / F.col("__top")).cast("int"), F.lit(least))
-    return rows.join(F.broadcast(top)).select(*rows.columns, F.when(F.col("__top") > 0, px).otherwise(F.lit(least)).alias("px"))
+    top = rows.agg(F.max(value)).scalar()
+    px = F.greatest(F.floor(F.col(value) * F.lit(width) / F.nullif(top, F.lit(0))).cast("int"), F.lit(least))
+    return rows.withColumn("px", F.coalesce(px, F.lit(least)))
 
 
 def dashboard(events: DataFrame, clicks: DataFrame, searches: DataFrame, as_of: datetime) -> dict[str, DataFrame]:

@@ -19,10 +19,8 @@ def folded(results: DataFrame) -> DataFrame:
     filled = lambda c: F.nullif(c, F.lit(""))
     key = F.coalesce(filled("canonical"), filled("content_hash"), F.col("url"))
     rest = [c for c in results.columns if c not in ("qid", "url")]
-    best = F.max_by(F.struct("url", *rest), F.struct(F.col("score"), F.col("__later"))).alias("x")
-    # of equal scores the smaller url wins
-    order = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("url")))
-    groups = results.where(F.col("url").isNotNull()).withColumn("__later", order).groupBy("qid", key.alias("__key")).agg(best, F.count(F.lit(1)).alias("n"))
+    best = F.min_by(F.struct("url", *rest), F.struct(-F.col("score"), F.col("url"))).alias("x")  # of equal scores the smaller url wins
+    groups = results.where(F.col("url").isNotNull()).groupBy("qid", key.alias("__key")).agg(best, F.count(F.lit(1)).alias("n"))
     return groups.select("qid", "x.*", F.when(F.col("n") > 1, F.col("n") - 1).cast("int").alias("also_on"))
 
 

@@ -10,19 +10,22 @@ from ..functions.text import tokens
 from ..functions.trigram import trigrams
 
 
+def similar(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``a, b, sim`` of the words ``a`` and ``b`` that share a trigram, through a join on trigrams; words that share none have no row."""
+    grams = lambda df, c, n: df.select(c, trigrams(F.col(c)).alias("g")).select(c, F.size("g").alias(n), F.explode("g").alias("gram"))
+    pairs = grams(left, "a", "n").join(grams(right, "b", "m"), "gram").groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("both"))
+    return pairs.select("a", "b", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("sim"))
+
+
 def neighbours(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``token, word, sim, df``: the word of the lexicon most similar to each given token, of equals the more frequent, then the first by letters.
 
-    Only words that share a trigram are compared, through a join on trigrams; the tokens' side is as small as the queries.
+    The tokens' side is as small as the queries.
     """
-    grams = words.select("token", trigrams(F.col("token")).alias("grams"))
-    asked = grams.select("token", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    known = lexicon.select("word", "df", trigrams(F.col("word")).alias("grams"))
-    shared = known.select("word", "df", F.size("grams").alias("m"), F.explode("grams").alias("gram")).join(asked, "gram")
-    pairs = shared.groupBy("token", "word", "df", "n", "m").agg(F.count(F.lit(1)).alias("both"))
-    rated = pairs.withColumn("sim", F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).where(F.col("sim") >= 0.3)
-    best = rated.groupBy("token").agg(F.min_by(F.struct("word", "sim", "df"), F.struct(-F.col("sim"), -F.col("df"), F.col("word"))).alias("x"))
-    return best.select("token", "x.*")
+    rated = similar(words.select(F.col("token").alias("a")), lexicon.select(F.col("word").alias("b"))).where(F.col("sim") >= 0.3)
+    known = rated.join(lexicon.select(F.col("word").alias("b"), "df"), "b")
+    best = known.groupBy("a").agg(F.min_by(F.struct(F.col("b").alias("word"), "sim", "df"), F.struct(-F.col("sim"), -F.col("df"), F.col("b"))).alias("x"))
+    return best.select(F.col("a").alias("token"), "x.*")
 
 
 def suggest(queries: DataFrame, lexicon: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..config import AS_OF, EVENTS_AS_OF
 from ..functions import text as X
-from ..functions.trigram import similarity
 from ..operators import analytics as A
 from ..operators import graph as G
 from ..operators import upserts as U
+from ..operators.suggest import similar
 from ..sources import derived as D
 from ..sources.tables import read
 
@@ -280,12 +280,11 @@ _GRAMS = "list_distinct(list_transform(range(1, length({c}) + 2), lambda i: subs
 
 
 @query(f"""WITH h AS (SELECT DISTINCT lower(hint) AS w, {_GRAMS.format(c='lower(hint)')} AS g FROM name_hints)
-SELECT a.w AS a, b.w AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 5) AS sim FROM h a JOIN h b ON a.w < b.w""")
+SELECT a.w AS a, b.w AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 5) AS sim FROM h a JOIN h b ON a.w < b.w WHERE len(list_intersect(a.g, b.g)) > 0""")
 def trigram_similarity(spark, folder):
-    # name hints are of the same number at every scale, so comparing each with each is bounded
-    a = read(spark, folder, "name_hints").select(F.lower("hint").alias("a")).distinct()
-    b = a.withColumnRenamed("a", "b")
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(similarity(F.col("a"), F.col("b")), 5).alias("sim"))
+    words = read(spark, folder, "name_hints").select(F.lower("hint").alias("a")).distinct()
+    pairs = similar(words, words.withColumnRenamed("a", "b")).where(F.col("a") < F.col("b"))
+    return pairs.select("a", "b", F.round("sim", 5).alias("sim"))
 
 
 # ------------------------------------------------------------------ changes of state
