@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +42,7 @@ def postings(pages: DataFrame, words: tuple[str, ...] | None = None) -> DataFram
     found = page_words(pages)
     if words is not None:
         wanted = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-        found = found.withColumn("words", F.filter("words", lambda x: F.array_contains(wanted, x["lexeme"]))).where(F.size("words") > 0)
+        found = found.withColumn("words", F.filter("words", lambda x: F.array_contains(wanted, x["lexeme"])))
     return found.select("url", F.inline("words"))
 
 
@@ -113,28 +112,29 @@ def lexical(pages: DataFrame, requests: list[Request], lexeme=lambda w: w) -> Da
     found = page_words(pages)
     wanted = F.array(*[F.lit(w) for w in words])
     hits = found.select("url", "type", F.filter("words", lambda x: F.array_contains(wanted, x["lexeme"])).alias("words"))
-    # a query of exclusions alone may match pages without any of its words, with a density of 0
-    if not any(all(f.excluded for f in a) for q in queries.values() for a in q.alternatives):
-        hits = hits.where(F.size("words") > 0)
+    # a filter on the number of words found would be pushed below and find them a second time, so pages without any go on
     types = {r.qid: r.ptype for r in requests}
     live = {qid: q for qid, q in queries.items() if q.alternatives}
     if all(q.simple != "other" for q in live.values()):
         return _plain(hits, live, types)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for url, kind, occurrences in zip(b["url"], b["type"], b["words"]):
-                xs, ps, ws = [o["lexeme"] for o in occurrences], [o["pos"] for o in occurrences], [o["w"] for o in occurrences]
+            qids, at, rels = [], [], []
+            for k, (kind, codes, places, weights) in enumerate(zip(*(b.column(j).to_pylist() for j in range(1, 5)))):
+                xs = [words[c] for c in codes]
                 have = set(xs)
-                for qid, q in queries.items():
+                for qid, q in live.items():
                     if (types[qid] is None or types[qid] == kind) and any(all(f.excluded or have.issuperset(f.words) for f in a) for a in q.alternatives):
-                        match, rel = cover_rank(q, xs, ps, ws)
+                        match, rel = cover_rank(q, xs, places, weights)
                         if match:
-                            out.append((qid, url, round(rel, 6)))  # sums in another order must not reorder equals
-            yield pd.DataFrame(out, columns=["qid", "url", "rel"])
+                            qids.append(qid), at.append(k), rels.append(round(rel, 6))  # sums in another order must not reorder equals
+            yield pa.RecordBatch.from_arrays([pa.array(qids, pa.int64()), b.column(0).take(pa.array(at, pa.int64())), pa.array(rels, pa.float64())], names=["qid", "url", "rel"])
 
-    return hits.mapInPandas(run, "qid bigint, url string, rel double")
+    # words go to the workers as their numbers among the queries' words
+    code = F.transform("words", lambda x: (F.array_position(wanted, x["lexeme"]) - 1).cast("int"))
+    plain = hits.select("url", "type", code.alias("codes"), F.transform("words", lambda x: x["pos"]).alias("places"), F.transform("words", lambda x: x["w"]).alias("weights"))
+    return plain.mapInArrow(run, "qid bigint, url string, rel double")
 
 
 def _plain(hits: DataFrame, queries: dict[int, Query], types: dict[int, str | None]) -> DataFrame:
