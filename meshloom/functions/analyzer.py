@@ -7,8 +7,10 @@ whose positions stay taken, and stems the rest by the published Porter2 rules.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,12 +137,17 @@ def english(word: str) -> str | None:
     return None if word in STOP_WORDS else stem(word)
 
 
-def stems(words_column: Column) -> Column:
-    """Lexemes of an array of words, null where one is a stop word; a worker stems each distinct word once."""
-    import pandas as pd
+def simple(word: str) -> str:
+    """The word as it is."""
+    return word
+
+
+def lexemes(words: Column, lexeme: Callable[[str], str | None]) -> Column:
+    """The lexemes of an array of words, null where a word has none; a worker works out each distinct word of a batch once."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(words: pd.Series) -> pd.Series:
-        return words.map(lambda ws: None if ws is None else [english(w) for w in ws])
+    def run(batch: pd.Series) -> pd.Series:
+        known = {w: lexeme(w) for w in {w for ws in batch if ws is not None for w in ws}}
+        return batch.map(lambda ws: None if ws is None else [known[w] for w in ws])
 
-    return run(words_column)
+    return run(words)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import text as X
+from ..functions.analyzer import simple
 from ..functions.querylang import parse
 from . import retrieval as R
 from .graph import inbound_links, popularity
@@ -42,7 +43,7 @@ def scored(candidates: DataFrame, as_of: datetime, config: EngineConfig = DEFAUL
     return candidates.withColumn("score", F.round((base + bonus) * penalty, 5)).withColumn("date", F.date_format(date, "yyyy-MM-dd"))
 
 
-def candidates(pages: DataFrame, requests: list[R.Request], config: EngineConfig = DEFAULT, lexeme=lambda w: w, limit: int | None = None) -> DataFrame:
+def candidates(pages: DataFrame, requests: list[R.Request], config: EngineConfig = DEFAULT, lexeme=simple, limit: int | None = None) -> DataFrame:
     """``qid, url, rel, fused, vectors``: what words match, with what vectors alone pull in, cut to a pool by ``rel``."""
     spark = pages.sparkSession
     pool = max(limit or config.search_cap, config.vector_topk) + config.vector_pull + 20
@@ -61,7 +62,7 @@ def candidates(pages: DataFrame, requests: list[R.Request], config: EngineConfig
     return out.select("qid", "url", "rel", F.coalesce("fused", F.lit(0.0)).alias("fused"), F.coalesce("vectors", F.lit(False)).alias("vectors"))
 
 
-def search(pages: DataFrame, nodes: DataFrame, links: DataFrame, clicks: DataFrame, requests: list[R.Request], as_of: datetime, config: EngineConfig = DEFAULT, lexeme=lambda w: w, limit: int | None = None) -> DataFrame:
+def search(pages: DataFrame, nodes: DataFrame, links: DataFrame, clicks: DataFrame, requests: list[R.Request], as_of: datetime, config: EngineConfig = DEFAULT, lexeme=simple, limit: int | None = None) -> DataFrame:
     """Ranked results of a batch of requests, ``limit`` (60 by default) of each at most.
 
     ``pages`` holds one row a url, ``clicks`` too; blank requests have no result. Previews are made only for the

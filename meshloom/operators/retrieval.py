@@ -6,7 +6,7 @@ exploded or shuffled: an index built on the fly holds only what some query asks
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
-from ..functions.analyzer import english, weighted_words
+from ..functions.analyzer import lexemes, simple, weighted_words
 from ..functions.querylang import Query, parse
 
 
@@ -31,10 +31,15 @@ class Request:
     vector: tuple[float, ...] | None = None
 
 
-def page_words(pages: DataFrame) -> DataFrame:
-    """``url, type, words`` of the good pages."""
+def page_words(pages: DataFrame, lexeme: Callable[[str], str | None] = simple) -> DataFrame:
+    """``url, type, words`` of the good pages. An analyzer other than the simple one replaces words by lexemes and drops those without, whose places stay taken."""
     fields = [F.col(c) for c in ("title", "headings", "anchors", "description", "content")]
-    return pages.where("ok").select("url", "type", weighted_words(*fields).alias("words"))
+    found = pages.where("ok").select("url", "type", weighted_words(*fields).alias("words"))
+    if lexeme is simple:
+        return found
+    read = found.withColumn("lexemes", lexemes(F.transform("words", lambda x: x["lexeme"]), lexeme))
+    put = F.zip_with("words", "lexemes", lambda x, n: F.struct(n.alias("lexeme"), x["pos"].alias("pos"), x["w"].alias("w")))
+    return read.select("url", "type", F.filter(put, lambda x: x["lexeme"].isNotNull()).alias("words"))
 
 
 def postings(pages: DataFrame, words: tuple[str, ...] | None = None) -> DataFrame:
@@ -98,7 +103,7 @@ def cover_rank(query: Query, lexemes: list[str], places: list[int], weights: lis
     return True, rel
 
 
-def lexical(pages: DataFrame, requests: list[Request], lexeme=lambda w: w) -> DataFrame:
+def lexical(pages: DataFrame, requests: list[Request], lexeme: Callable[[str], str | None] = simple) -> DataFrame:
     """``qid, url, rel`` of every page that a request's query matches, of the request's type if it names one.
 
     Blank requests match nothing. The match and the density of queries beyond plain words are worked out by
@@ -109,7 +114,7 @@ def lexical(pages: DataFrame, requests: list[Request], lexeme=lambda w: w) -> Da
     words = tuple(dict.fromkeys(w for q in queries.values() for w in q.words))
     if not words:
         return spark.createDataFrame([], "qid bigint, url string, rel double")
-    found = page_words(pages)
+    found = page_words(pages, lexeme)
     wanted = F.array(*[F.lit(w) for w in words])
     hits = found.select("url", "type", F.filter("words", lambda x: F.array_contains(wanted, x["lexeme"])).alias("words"))
     # a filter on the number of words found would be pushed below and find them a second time, so pages without any go on
@@ -211,10 +216,8 @@ def fuse(lexical_ranks: DataFrame, vector_ranks: DataFrame, k: int = 60) -> Data
     return part(lexical_ranks).unionByName(part(vector_ranks)).groupBy("qid", "url").agg(F.sum("part").alias("fused"))
 
 
-def lexicon(pages: DataFrame, min_df: int = 2) -> DataFrame:
+def lexicon(pages: DataFrame, min_df: int = 2, lexeme: Callable[[str], str | None] = simple) -> DataFrame:
     """``word, df`` of the words of three to thirty letters that at least ``min_df`` good pages hold in any field."""
-    words = page_words(pages).select(F.explode(F.array_distinct(F.transform("words", lambda x: x["lexeme"]))).alias("word"))
+    words = page_words(pages, lexeme).select(F.explode(F.array_distinct(F.transform("words", lambda x: x["lexeme"]))).alias("word"))
     return words.where(F.col("word").rlike("^[a-z][a-z]{2,29}$")).groupBy("word").agg(F.count(F.lit(1)).cast("int").alias("df")).where(F.col("df") >= min_df)
 
-
-ENGLISH = english

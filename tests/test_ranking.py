@@ -120,3 +120,14 @@ def test_popularity_needs_a_match(spark):
     got = search(pages, nodes, links, clicks, [retrieval.Request(1, "zine", vector=tuple(hub)), retrieval.Request(2, "  ")], AS_OF).orderBy("rank").collect()
     score = {r.url: r.score for r in got}
     assert set(r.qid for r in got) == {1} and score["n:/hub"] < 0.1 and got[0].url in ("n:/hit", "n:/hub")
+
+
+def test_the_english_analyzer(spark):
+    from meshloom.functions.analyzer import english
+
+    pages = _page(spark, id=1, url="a", title="Dogs", content="The running relays of the hill", ok=True).unionByName(_page(spark, id=2, url="b", title="cat", content="a dog and the relay", ok=True)).unionByName(_page(spark, id=3, url="c", title=None, content=None, ok=True))
+    rel = lambda q, **k: {r.url: round(r.rel, 3) for r in retrieval.lexical(pages, [retrieval.Request(1, q)], **k).collect()}
+    assert rel("dogs") == {"a": 1.0} and rel("dogs", lexeme=english) == {"a": 1.0, "b": 0.1}
+    assert rel("the relay", lexeme=english) == {"a": 0.1, "b": 0.1} and rel("the", lexeme=english) == {}
+    assert rel('"run relay"', lexeme=english) == {"a": 0.1} and rel("relay -cats", lexeme=english) == {"a": 0.1}
+    assert {r.word: r.df for r in retrieval.lexicon(pages, 2, english).collect()} == {"dog": 2, "relay": 2}
