@@ -48,7 +48,8 @@ def postings(pages: DataFrame, words: tuple[str, ...] | None = None) -> DataFram
     if words is not None:
         wanted = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
         found = found.withColumn("words", F.filter("words", lambda x: F.array_contains(wanted, x["lexeme"])))
-    return found.select("url", F.inline("words"))
+    # an inner generator would add a filter on the array, which finds the words once more
+    return found.select("url", F.inline_outer("words")).where(F.col("lexeme").isNotNull())
 
 
 def rank_any(posts: DataFrame, *more: str) -> DataFrame:
@@ -151,7 +152,7 @@ def _plain(hits: DataFrame, queries: dict[int, Query], types: dict[int, str | No
         if not terms:
             continue
         asked = F.broadcast(spark.createDataFrame(terms, "qid bigint, lexeme string, ptype string"))  # the words of the batch
-        found = hits.select("url", "type", F.inline("words")).join(asked, "lexeme").where(F.col("ptype").isNull() | (F.col("ptype") == F.col("type")))
+        found = hits.select("url", "type", F.inline_outer("words")).join(asked, "lexeme").where(F.col("ptype").isNull() | (F.col("ptype") == F.col("type")))
         parts.append(rank_any(found, "qid") if kind == "any" else rank_two(found, "qid"))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.select("qid", "url", F.round("rel", 6).alias("rel"))
@@ -218,6 +219,6 @@ def fuse(lexical_ranks: DataFrame, vector_ranks: DataFrame, k: int = 60) -> Data
 
 def lexicon(pages: DataFrame, min_df: int = 2, lexeme: Callable[[str], str | None] = simple) -> DataFrame:
     """``word, df`` of the words of three to thirty letters that at least ``min_df`` good pages hold in any field."""
-    words = page_words(pages, lexeme).select(F.explode(F.array_distinct(F.transform("words", lambda x: x["lexeme"]))).alias("word"))
+    words = page_words(pages, lexeme).select(F.explode_outer(F.array_distinct(F.transform("words", lambda x: x["lexeme"]))).alias("word"))
     return words.where(F.col("word").rlike("^[a-z][a-z]{2,29}$")).groupBy("word").agg(F.count(F.lit(1)).cast("int").alias("df")).where(F.col("df") >= min_df)
 

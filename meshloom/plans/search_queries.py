@@ -15,6 +15,7 @@ from ..operators import retrieval as R
 from ..operators.graph import inbound_links
 from ..operators.suggest import neighbours
 from ..operators.suggest import suggest as suggest_words
+from ..session import spread
 from ..sources import derived as D
 from ..sources.tables import read
 
@@ -108,7 +109,8 @@ posts AS (
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    return D.latest_pages(read(spark, folder, "pages"))
+    pages = read(spark, folder, "pages")
+    return spread(D.latest_pages(pages), pages)
 
 
 def _rounded(df: DataFrame) -> DataFrame:

@@ -55,3 +55,12 @@ def broadcast_if_small(df, max_rows: int):
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def spread(df, scan=None):
+    """Rows dealt out over all cores where the scan they come from has fewer parts than there are cores, as one small file has; else as they are.
+
+    ``scan`` must be a plain read, whose parts are known without running anything; by default it is ``df`` itself.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if (scan or df).rdd.getNumPartitions() < cores else df
