@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import read
+from ..session import spread
+from ..sources import tables
 from . import boilerplate, bpe, langid, leakage, pii, spam, vectors
 
 
+def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table, dealt out over all cores where it lies in fewer parts."""
+    return spread(tables.read(spark, folder, table))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.repeated_lines(read(spark, folder, "pages")).distinct()
 
