@@ -153,6 +153,23 @@ def aligned_words(a: np.ndarray, b: np.ndarray, c: LeakConfig) -> int:
     return found
 
 
+def common_words(a: np.ndarray, b: np.ndarray) -> int:
+    """The most words that both hold in the same order. No alignment has more equal words, so what falls short by this needs none.
+
+    Whole numbers hold a row of the table of longest common subsequences each, a bit a word of a: a zero where the length grows.
+    """
+    ones: dict[int, int] = {}
+    for k, x in enumerate(a.tolist()):
+        ones[x] = ones.get(x, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b.tolist():
+        if x in ones:
+            both = row & ones[x]
+            row = (row + both | row - both) & full
+    return len(a) - row.bit_count()
+
+
 def find(texts: list[str | None], items: Items, c: LeakConfig) -> list[tuple[int, int]]:
     """Pairs of the index of a text and an item of which it holds a passage."""
     hashes, starts = hash_words([words(t) for t in texts])
@@ -193,12 +210,8 @@ def _mostly(own: np.ndarray, doc: np.ndarray, shifts: np.ndarray, c: LeakConfig)
     cuts = [0, *(np.flatnonzero(np.diff(shifts) > reach) + 1), len(shifts)]
     for a, b in zip(cuts, cuts[1:]):
         low, high = max(0, shifts[a] - reach), min(len(doc), shifts[b - 1] + len(own) + reach)
-        # words that agree along any of the shifts; what an alignment finds beside them is a few words between two gaps
-        agree = np.zeros(len(own), dtype=bool)
-        for s in shifts[a:b]:
-            x, y = max(0, -s), min(len(own), len(doc) - s)
-            agree[x:y] |= own[x:y] == doc[x + s : y + s]
-        if agree.sum() >= 0.8 * need and aligned_words(own, doc[low:high], c) >= need:
+        passage = doc[low:high]
+        if common_words(own, passage) >= need and aligned_words(own, passage, c) >= need:
             return True
     return False
 

@@ -90,3 +90,37 @@ def test_alignment_against_the_plain_recursion():
         _, want = brute_local(a, b, c)
         got = L.aligned_words(np.array(a), np.array(b), c)
         assert abs(got - want) <= 1  # equal scores may come from alignments that differ in a word
+
+
+def test_no_pair_is_lost_before_aligning():
+    import numpy as np
+
+    rng, c = random.Random(6), L.LeakConfig()
+    lost = checked = 0
+    for n in (30, 50, 70):
+        for _ in range(60):
+            item = [rng.getrandbits(60) for _ in range(n)]
+            kept = [w for w in item if rng.random() > 0.12]
+            a = np.array(item, dtype=np.uint64)
+            b = np.array([rng.getrandbits(60) for _ in range(30)] + kept + [rng.getrandbits(60) for _ in range(30)], dtype=np.uint64)
+            items = L.Items.build([1], [" ".join(f"w{x}" for x in item)])
+            text = " ".join(f"w{x}" for x in b)
+            keys = L.seeds(*L.hash_words([L.words(text)]))[0]
+            if np.isin(keys, items.keys).sum() >= c.hits and L.aligned_words(a, b, c) >= max(c.most * n, 8):
+                checked += 1
+                lost += not L.find([text], items, c)
+    assert checked > 50 and lost == 0
+
+
+def test_common_words_against_the_plain_recursion():
+    import numpy as np
+
+    rng, c = random.Random(7), L.LeakConfig()
+    for _ in range(100):
+        a, b = ([rng.randrange(9) for _ in range(rng.randrange(1, 80))] for _ in "ab")
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        got = L.common_words(np.array(a), np.array(b))
+        assert got == table[-1][-1] >= L.aligned_words(np.array(a), np.array(b), c)
