@@ -145,8 +145,8 @@ class Parts:
         endings = {x for (what, x), n in votes.items() if what == "e" and n >= 2}
         for _ in range(3):  # a word with one known part gives away the other
             for w in words:
-                known_end = max((e for e in endings if w.endswith(e) and len(w) - len(e) >= 2), key=len, default="")
-                known_stem = max((x for x in stems if w.startswith(x) and len(w) - len(x) >= 2), key=len, default="")
+                known_end = next((w[k:] for k in range(2, len(w)) if w[k:] in endings), "")
+                known_stem = next((w[:k] for k in range(len(w) - 2, 0, -1) if w[:k] in stems), "")
                 if known_end and not known_stem:
                     stems.add(w[: -len(known_end)])
                 elif known_stem and not known_end:
@@ -258,14 +258,12 @@ def learn_names(hints: DataFrame) -> Names:
     return Names(of("given"), of("family"))
 
 
-def widen(names: Names, documents: DataFrame, rows: int = 10_000, words: int = 5_000, key: str = "doc_id", text: str = "text") -> Names:
-    """Learns further names from the words that stand beside known ones in about ``rows`` documents.
+def widen(names: Names, documents: DataFrame, text: str = "text") -> Names:
+    """Learns further names from the words that stand beside known ones, counted over all documents.
 
-    The documents are taken by a hash of their key; the ``words`` most frequent neighbours seen beside two or more
-    different names take part in learning. A capitalised word before known family names is a given name if it stands before several of them and seldom
-    before given names, as a label would. This fits the detector; what is then detected doesn't depend on which documents were taken.
+    Every neighbour seen beside two or more different names takes part in learning. A capitalised word before known family names is a given name if it stands before several of them and seldom
+    before given names, as a label would. Occurrences are counted before the shuffle; what is gathered is a list of words, not of occurrences.
     """
-    total = documents.count()
     shared = documents.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,10 +282,9 @@ def widen(names: Names, documents: DataFrame, rows: int = 10_000, words: int = 5
                             out.append(("before", word, after if kinds[k + 1] & 2 else ""))
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.string()) for j in range(3)], names=["kind", "word", "beside"])
 
-    few = documents.where(F.pmod(F.xxhash64(key), F.lit(max(1, total // rows))) == 0).select(text)
-    beside = few.mapInArrow(run, "kind string, word string, beside string").groupBy("kind", "word")
+    beside = documents.select(text).mapInArrow(run, "kind string, word string, beside string").groupBy("kind", "word")
     seen = beside.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.nullif("beside", F.lit(""))).alias("others"), F.count_if(F.col("beside") == "").alias("labels"))
-    found = seen.where((F.col("n") >= 2) & (F.col("others") >= 2) & (2 * F.col("labels") < F.col("n"))).orderBy(F.desc("n"), "kind", "word").limit(words).collect()
+    found = seen.where((F.col("n") >= 2) & (F.col("others") >= 2) & (2 * F.col("labels") < F.col("n"))).collect()
     of = lambda kind: [r["word"] for r in found if r["kind"] == kind]
     given = Parts.learn(list(names.given.whole))
     return Names(Parts(given.whole | frozenset(w for w in of("before") if w.isalpha()), given.stems, given.endings), Parts.learn([*names.family.whole, *of("family")]))

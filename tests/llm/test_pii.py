@@ -97,6 +97,14 @@ def test_widening_learns_from_the_corpus(spark):
     assert not P.detect("A. Marvberg", NAMES)
 
 
+def test_widening_reads_all_documents_and_keeps_all_words(spark):
+    families = [f"{a}{b}{c}{d}berg" for a in "BCDFGHJKLM" for b in "aeiou" for c in "bcdfghjklmn" for d in ("ad", "em", "ik", "op", "ur", "az", "es", "il", "on", "ut")][:5200]
+    rows = [(k, f"Thanks to {given} {f} today.", "") for k, (given, f) in enumerate((g, f) for f in families for g in ("Brimar", "Brida"))]
+    rows += [(k, "The relay on the hill answers.", "") for k in range(len(rows), 20_200)]
+    wide = P.widen(NAMES, spark.createDataFrame(rows, DOCS).repartition(4))
+    assert [f for f in families if not P.detect(f"A. {f}", wide)] == []
+
+
 def test_forms_with_too_few_replacements_are_lengthened(spark):
     rows = [(k, f"Signed, Brida {a}{b}", "") for k, (a, b) in enumerate((x, y) for x in "BCDFGHJKLMNPQRSTVWXZ" for y in "aeiou")]
     names = P.Names(NAMES.given, P.Parts(frozenset(t.split()[-1].lower() for _, t, _ in rows), frozenset(), frozenset()))
