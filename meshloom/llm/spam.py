@@ -1,9 +1,10 @@
 """Pages of repeated keywords, product tags, keyword filler or bare links instead of sentences.
 
 Each line is measured once: characters, words, function words, separators, the share of its most
-frequent other word, distinct word pairs, and addresses. What counts as too few function words is
-calibrated per language from all lines of the corpus. A page is spam if the greater part of its
-characters stands in lines that fail.
+frequent other word, distinct word pairs, and addresses. Lines too short to say anything are measured
+together with the short lines beside them, and a line that a page repeats is marked. What counts as
+too few function words is calibrated per language from all lines of the corpus. A page is spam if the
+greater part of its characters stands in lines that fail.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ class SpamConfig:
     of the median share of function words in its language, ``fallback`` being the median where a language has too few lines.
     ``min_words``: shorter lines say nothing about function words. ``top_word``, ``pairs``: share of the most frequent word from
     which, and of distinct word pairs up to which, a line fails. ``separators``: share of the gaps between words that
-    separators fill from which a line of few function words is a list of tags. ``list_run``: lines in a row that make a list; ``list_lines``: lines of lists that a page of links has at least."""
+    separators fill from which a line of few function words is a list of tags. ``words_a_line``: words a line up to which
+    a run of short lines of few function words is one of keywords; longer ones may be titles or names. ``list_run``: lines in a row that make a list; ``list_lines``: lines of lists that a page of links has at least."""
 
     share: float = 0.5
     of_median: float = 0.3
@@ -42,8 +44,9 @@ class SpamConfig:
     top_words: int = 14
     pairs: float = 0.5
     separators: float = 0.5
+    words_a_line: float = 1.5
     list_run: int = 6
-    list_lines: int = 10
+    list_lines: int = 6
 
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -52,9 +55,14 @@ _ADDRESS = re.compile(r"(?:\b[0-9a-fA-F]{16,64}:/\S*|(?<!\w):/page/\S*|\bhttps?:
 _SEPARATOR = re.compile(r"[|·•;,/+~&*#>]+|\s[-–—]\s")
 _ENDS = (".", "!", "?", "…", ":", ";", '."', '!"', '?"')
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
+#: A list's marker, and a number with its unit.
+_MARKER = re.compile(r"^(?:[*•\-–+]|\(?\d{1,3}[.):])\s+")
+_READING = re.compile(r"\d\s*(?:%|°|[^\W\d_]{1,3}\b)|\d\D+\d")
+#: Short lines have fewer words than a line's function words are judged by; so often a line of a page is a repeated one.
+_SHORT, _REPEATED = 8, 3
 #: Bits of each language's count in one whole number, so that a line's counts are one sum.
 _FIELD, _MOST = 24, (1 << 24) - 1
-_FIELDS = ["chars", "words", "lang", "function", "top", "pairs", "separators", "address", "listed"]
+_FIELDS = ["chars", "words", "lang", "function", "top", "pairs", "separators", "address", "listed", "repeated", "run_lines", "run_words", "run_lang", "run_function", "run_top", "run_pairs"]
 
 
 def packed_words() -> dict[str, int]:
@@ -62,13 +70,34 @@ def packed_words() -> dict[str, int]:
     return {w: sum(1 << k * _FIELD for k in range(len(LANGUAGES)) if mask >> k & 1) for w, mask in function_word_masks().items()}
 
 
+def _shares(words: list[str], packed: dict[str, int]) -> tuple[int, float, float, float]:
+    """Language, share of its function words, share of the most frequent other word, and share of distinct pairs."""
+    n = len(words)
+    counts = sum(map(packed.get, words, repeat(0)))
+    best, lang = 0, -1
+    if counts:
+        for k in range(len(LANGUAGES)):
+            c = counts >> k * _FIELD & _MOST
+            if c > best:
+                best, lang = c, k
+    top = pairs = 0.0
+    if n >= 2:
+        content = Counter([w.rstrip("s") for w in words if w not in packed])
+        top = max(content.values(), default=0) / n
+        pairs = len(set(zip(words, words[1:]))) / (n - 1)
+    return lang, best / n if n else 0.0, top, pairs
+
+
 def measure(text: str, packed: dict[str, int]) -> list[tuple]:
     """Of each line with anything on it the figures named in ``_FIELDS``; ``lang`` is -1 where no function word stands.
 
     ``listed`` marks short lines without an end of sentence and without a table's digits; ``address`` marks those with an
-    address and hardly any word beside it. ``packed`` is what ``packed_words`` gives.
+    address and hardly any word beside it; ``repeated`` those that the page has several times. ``run_lines`` and what
+    follows are the figures of a run of short lines, without tables' rows, as if it were one line; 0 where there is none.
+    ``packed`` is what ``packed_words`` gives.
     """
-    out = []
+    out, keys, runs = [], [], []
+    before = False
     for line in (_INVISIBLE.sub("", text) if _INVISIBLE.search(text) else text).split("\n"):
         line = line.strip()
         chars = len(line) - line.count(" ")
@@ -78,29 +107,35 @@ def measure(text: str, packed: dict[str, int]) -> list[tuple]:
         has_address = len(bare) != len(line)
         words = _WORD.findall(bare.lower())
         n = len(words)
-        counts = sum(map(packed.get, words, repeat(0)))
-        best, lang = 0, -1
-        if counts:
-            for k in range(len(LANGUAGES)):
-                c = counts >> k * _FIELD & _MOST
-                if c > best:
-                    best, lang = c, k
-        top = pairs = 0.0
-        if n >= 2:
-            content = Counter([w.rstrip("s") for w in words if w not in packed])
-            top = max(content.values(), default=0) / n
-            pairs = len(set(zip(words, words[1:]))) / (n - 1)
+        lang, function, top, pairs = _shares(words, packed)
         letters = sum(map(len, words))
         address = has_address and n <= 3
-        listed = not has_address and 0 < n < 8 and letters >= 0.6 * chars and not line.endswith(_ENDS)
-        out.append((chars, n, lang, best / n if n else 0.0, top, pairs, len(_SEPARATOR.findall(bare)) / max(n - 1, 1), address, listed))
-    return out
+        wordy = not has_address and n > 0 and letters >= 0.6 * chars
+        listed = wordy and n < 8 and not line.endswith(_ENDS)
+        plain = wordy and not _READING.search(_MARKER.sub("", line))
+        short = plain and n < _SHORT
+        if short:
+            if not before:
+                runs.append((len(out), []))
+            runs[-1][1].append(words)
+        before = short
+        keys.append("".join(words) if plain else "")
+        out.append((chars, n, lang, function, top, pairs, len(_SEPARATOR.findall(bare)) / max(n - 1, 1), address, listed))
+    times = Counter(keys)
+    marked = [(*x, k != "" and times[k] >= _REPEATED, 0, 0, -1, 0.0, 0.0, 0.0) for x, k in zip(out, keys)]
+    for first, lines in runs:
+        if len(lines) > 1:
+            words = [w for x in lines for w in x]
+            figures = (len(lines), len(words), *_shares(words, packed))
+            for k in range(first, first + len(lines)):
+                marked[k] = (*marked[k][:10], *figures)
+    return marked
 
 
 def line_figures(pages: DataFrame) -> DataFrame:
     """``id, url, lines`` of pages ``id, url, content``."""
     packed = packed_words()
-    types = [pa.int32(), pa.int32(), pa.int32(), *[pa.float32()] * 4, pa.bool_(), pa.bool_()]
+    types = [pa.int32(), pa.int32(), pa.int32(), *[pa.float32()] * 4, *[pa.bool_()] * 3, *[pa.int32()] * 3, *[pa.float32()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,7 +145,8 @@ def line_figures(pages: DataFrame) -> DataFrame:
             rows = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(columns, types)], names=_FIELDS)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), rows)], names=["id", "url", "lines"])
 
-    line = "chars:int,words:int,lang:int,function:float,top:float,pairs:float,separators:float,address:boolean,listed:boolean"
+    line = "chars:int,words:int,lang:int,function:float,top:float,pairs:float,separators:float,address:boolean,listed:boolean,repeated:boolean"
+    line += ",run_lines:int,run_words:int,run_lang:int,run_function:float,run_top:float,run_pairs:float"
     return pages.select("id", "url", "content").mapInArrow(run, f"id bigint, url string, lines array<struct<{line}>>")
 
 
@@ -123,12 +159,17 @@ def calibrate(figures: DataFrame, config: SpamConfig) -> list[float]:
 
 
 def _failing(line: Column, limits: Column, least: float, c: SpamConfig) -> Column:
-    limit = F.when(line["lang"] >= 0, limits[line["lang"]]).otherwise(F.lit(least))
+    of = lambda lang: F.when(lang >= 0, limits[lang]).otherwise(F.lit(least))
+    limit, run_limit = of(line["lang"]), of(line["run_lang"])
     few = (line["words"] >= c.min_words) & (line["function"] < limit)
     stuffed = (line["words"] >= c.top_words) & (line["top"] >= c.top_word) & (line["function"] < 2 * limit)
     looped = (line["words"] >= c.top_words) & (line["pairs"] <= c.pairs) & (line["function"] < 2 * limit)
     tags = (line["words"] >= 6) & (line["separators"] >= c.separators) & (line["function"] < limit)
-    return line["address"] | few | stuffed | looped | tags
+    repeated = line["repeated"] & (line["function"] < 2 * limit)
+    run = (line["run_lines"] >= c.list_run) & (line["run_words"] >= c.min_words)
+    run_few = (line["run_function"] < run_limit) & (line["run_words"] <= c.words_a_line * line["run_lines"])
+    run_stuffed = (line["run_words"] >= c.top_words) & ((line["run_top"] >= c.top_word) | (line["run_pairs"] <= c.pairs)) & (line["run_function"] < 2 * run_limit)
+    return line["address"] | few | stuffed | looped | tags | repeated | (run & (run_few | run_stuffed))
 
 
 def spam_pages(pages: DataFrame, links: DataFrame, config: SpamConfig = SpamConfig()) -> DataFrame:

@@ -60,3 +60,28 @@ def test_share_on_the_tables(spark):
     pages = read(spark, f"{ROOT}/sf0.01", "pages")
     n = S.spam_pages(pages, read(spark, f"{ROOT}/sf0.01", "links")).count()
     assert 0.01 < n / pages.count() < 0.1
+
+
+def test_keywords_on_short_lines(spark):
+    rng = random.Random(2)
+    words = "router panel cheap offer antenna coupon deal battery sale price".split()
+    same = "\n".join(["cheap lora antenna"] * 200)
+    apart = "\n\n".join(["Cheap LoRa antenna!", "cheap lora-antenna", "* cheap lora antenna"] * 40)
+    numbered = "\n".join(f"cheap lora antenna {k}" for k in range(60))
+    one = "\n".join(rng.choice(words) for _ in range(120))
+    few = "\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(2, 6))) for _ in range(60))
+    tags = "\n".join(f"#{a}{b}" for a in words for b in ("world", "shop", "hut"))
+    mixed = TEXT["en"] + "\n" + same
+    readings = "\n".join(f"Station Hill {10 + k % 3}.{k} V {k} %" for k in range(30))
+    volts = "\n".join(f"Station Hill {k} V" for k in range(30))
+    names = "\n".join(f"{a}mar {b}berg" for a in ("Bri", "Cal", "Dor") for b in ("Korv", "Wexl", "Pell", "Sorr", "Vasqu"))
+    refrain = "\n".join(["It is on the hill.", "We are with you.", "And so it was."] * 12)
+    mostly = (TEXT["en"] + " ") * 4 + "\n" + "\n".join(["cheap lora antenna"] * 10)
+    small = "Home\nFiles\nLinks"
+    spam, fine = [same, apart, numbered, one, few, tags, mixed], [readings, volts, names, refrain, mostly, small]
+    assert judged(spark, spam + fine) == set(range(len(spam)))
+
+
+def test_a_short_list_of_linked_titles(spark):
+    titles = "\n".join(f"* A walk through Town{k}" for k in range(7))
+    assert judged(spark, [titles, titles], [("n:/p0", f"m:/q{k}", "") for k in range(7)]) == {0}
