@@ -2,7 +2,7 @@
 
 A spaced seed is a fixed mask laid over consecutive words: the words under its ones are hashed, those
 under its zeros are ignored, so a replaced word under a zero leaves the hash as it was. Seeds of the
-items and of the documents are joined on their hashes, and wherever several seeds of one item hit a
+items and of the documents are joined on their hashes, and wherever a seed of an item hits a
 document, the passage around the hits is aligned word by word.
 """
 
@@ -26,12 +26,12 @@ MASKS = ("1110111", "11011011", "11101011")
 @dataclass(frozen=True)
 class LeakConfig:
     """``run``: words in a row that are a leak. ``most``: part of an item whose words, with odd ones replaced or left out, are
-    one too. ``hits``: seeds of an item that must hit before it is aligned; a run of ``run`` words has over twenty.
+    one too, from eight words on. ``hits``: seeds of an item that must hit before it is aligned; an item of eight words has four, fewer with a word replaced.
     ``item_block``: items whose seeds are broadcast at once; more items are worked through in blocks."""
 
     run: int = 15
     most: float = 0.5
-    hits: int = 6
+    hits: int = 1
     match: float = 1.0
     replaced: float = -3.0
     left_out: float = -2.0
@@ -153,14 +153,21 @@ def aligned_words(a: np.ndarray, b: np.ndarray, c: LeakConfig) -> int:
     return found
 
 
-def common_words(a: np.ndarray, b: np.ndarray) -> int:
+def word_bits(a: np.ndarray) -> dict[int, int]:
+    """Each word with a one at every place where it stands."""
+    ones: dict[int, int] = {}
+    for k, x in enumerate(a.tolist()):
+        ones[x] = ones.get(x, 0) | 1 << k
+    return ones
+
+
+def common_words(a: np.ndarray, b: np.ndarray, ones: dict[int, int] | None = None) -> int:
     """The most words that both hold in the same order. No alignment has more equal words, so what falls short by this needs none.
 
     Whole numbers hold a row of the table of longest common subsequences each, a bit a word of a: a zero where the length grows.
+    ``ones`` is what ``word_bits`` gives for a, where it is at hand.
     """
-    ones: dict[int, int] = {}
-    for k, x in enumerate(a.tolist()):
-        ones[x] = ones.get(x, 0) | 1 << k
+    ones = word_bits(a) if ones is None else ones
     full = (1 << len(a)) - 1
     row = full
     for x in b.tolist():
@@ -191,27 +198,31 @@ def find(texts: list[str | None], items: Items, c: LeakConfig) -> list[tuple[int
     group, shift, text, item = group[order], shift[order], text[order], item[order]
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     out = []
-    for a, b in zip(first, [*first[1:], len(group)]):
+    of_run = sum(max(c.run - len(mask) + 1, 0) for mask in MASKS)  # seeds that a run of ``run`` words has
+    ones: dict[int, dict[int, int]] = {}
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(group)]):
         if b - a < c.hits:
             continue
-        i, t = item[a], text[a]
+        i, t = int(item[a]), int(text[a])
         own = items.hashes[items.starts[i] : items.starts[i + 1]]
         doc = hashes[starts[t] : starts[t + 1]]
-        shifts = np.unique(shift[a:b])
-        if longest_run(own, doc, shifts) >= c.run or _mostly(own, doc, shifts, c):
+        shifts = shift[a:b]
+        if i not in ones:
+            ones[i] = word_bits(own)
+        if b - a >= of_run and longest_run(own, doc, np.unique(shifts)) >= c.run or _mostly(own, doc, shifts, ones[i], c):
             out.append((int(t), int(items.ids[i])))
     return out
 
 
-def _mostly(own: np.ndarray, doc: np.ndarray, shifts: np.ndarray, c: LeakConfig) -> bool:
+def _mostly(own: np.ndarray, doc: np.ndarray, shifts: np.ndarray, ones: dict[int, int], c: LeakConfig) -> bool:
     need = max(c.most * len(own), 8)
     reach = len(own) // 4 + 4
     # alignments whose shifts lie close together belong to one passage; passages far apart are aligned each by itself
-    cuts = [0, *(np.flatnonzero(np.diff(shifts) > reach) + 1), len(shifts)]
+    cuts = [0, *(np.flatnonzero(np.diff(shifts) > reach) + 1).tolist(), len(shifts)] if shifts[-1] - shifts[0] > reach else [0, len(shifts)]
     for a, b in zip(cuts, cuts[1:]):
         low, high = max(0, shifts[a] - reach), min(len(doc), shifts[b - 1] + len(own) + reach)
         passage = doc[low:high]
-        if common_words(own, passage) >= need and aligned_words(own, passage, c) >= need:
+        if common_words(own, passage, ones) >= need and aligned_words(own, passage, c) >= need:
             return True
     return False
 
@@ -222,7 +233,7 @@ def leaks(documents: DataFrame, items: DataFrame, config: LeakConfig = LeakConfi
     A passage is at least ``run`` words in a row of the item, or at least the part ``most`` of its words
     in order with odd words replaced or left out. Case, marks, spacing, line breaks, and invisible or
     variant characters don't count. Null and empty texts on either side match nothing; items of fewer
-    words than a mask covers can't be found. Repeated documents are found each by itself, a pair comes
+    than eight words can't be found, nor a passage in which no seven or eight words fit a mask. Repeated documents are found each by itself, a pair comes
     out once a row; empty tables give no row, more columns are ignored. The items' seeds are broadcast
     in blocks of ``item_block`` items, so what is broadcast is bounded, and the corpus is never shuffled.
     """

@@ -124,3 +124,12 @@ def test_common_words_against_the_plain_recursion():
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         got = L.common_words(np.array(a), np.array(b))
         assert got == table[-1][-1] >= L.aligned_words(np.array(a), np.array(b), c)
+
+
+def test_short_items(spark):
+    rng = random.Random(8)
+    eight, twelve = passage(rng, 8), passage(rng, 12)
+    around = lambda: " ".join(passage(rng, 40))
+    replaced = " ".join([*twelve[:5], "other", *twelve[6:]])
+    docs = [(1, f"{around()} {' '.join(eight)} {around()}"), (2, f"{around()} {replaced} {around()}"), (3, f"{around()} {' '.join(eight[:7])} {around()}"), (4, around())]
+    assert pairs(spark, docs, [(1, " ".join(eight)), (2, " ".join(twelve))]) == {(1, 1), (2, 2)}
