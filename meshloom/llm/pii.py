@@ -80,8 +80,11 @@ ID_NUMBER = re.compile(
     + ")(?![\\w@]|[.\\-/:,]\\d|-[A-Z])"
 )
 _NUMBER_HINT = re.compile(r"\d(?:[\s().\-/]*\d){5}")
-#: What stands before numbers that aren't personal: serial, order, part and version numbers and the like.
-_OTHER_NUMBER = re.compile(r"(?:serial|order|part|batch|firmware|version|port|offset|ratio|grid|hash|total|sku|isbn|tune to|logged at|bestellung|seriennummer|teil|commande|pedido|pieza|peça|заказ|сери\w*)\b[^\n.;!?]{0,12}$", re.I)
+#: What stands before numbers that aren't personal: serial, order, part and version numbers and the like. Whole words, so that "port" isn't met in "passport".
+_OTHER_NUMBER = re.compile(r"(?<!\w)(?:serial|order|part|batch|firmware|version|port|offset|ratio|grid|hash|total|sku|isbn|tune to|logged at|bestellung|seriennummer|teil|commande|pedido|pieza|peça|заказ|сери\w*)\b[^\n.;!?]{0,12}$", re.I)
+
+#: Account numbers in groups of four, of which no part is a phone or identity number.
+_ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 
 # ---------------------------------------------------------------- addresses
 
@@ -306,8 +309,9 @@ def detect(text: str | None, names: Names) -> list[tuple[int, int, str]]:
                 add(*m.span(), "email")
     if any(ch.isdigit() for ch in text):
         addresses = [m.span() for m in ADDRESS.finditer(text)]
-        inside = lambda a, b: any(x < b and a < y for x, y in addresses)
         numbers = _NUMBER_HINT.search(text) is not None  # six digits near each other, which all numbers sought have
+        passed = addresses + [m.span() for m in _ACCOUNT.finditer(text)] if numbers else addresses
+        inside = lambda a, b: any(x < b and a < y for x, y in passed)
         for m in PHONE.finditer(text) if numbers else ():
             if 8 <= sum(ch.isdigit() for ch in m[0]) <= 15 and not inside(*m.span()) and not _OTHER_NUMBER.search(text, max(0, m.start() - 30), m.start()):
                 add(*m.span(), "phone")

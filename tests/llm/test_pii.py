@@ -45,6 +45,17 @@ def test_not_found(text):
     assert P.detect(text, NAMES) == []
 
 
+@pytest.mark.parametrize("word", ["passport", "Passport:", "support", "Support:", "report", "airport", "transport", "apart", "subtotal", "document", "Desk:"])
+def test_a_word_that_holds_another_hides_no_number(word):
+    for number, kind in (("123456789", "id_number"), ("AB1234567", "id_number"), ("+1 555 123 4567", "phone"), ("+44 20 7946 0958", "phone")):
+        assert hits(f"{word} {number}") == [(kind, number)]
+
+
+@pytest.mark.parametrize("text", ["port 123456789", "Part AB1234567", "total: 123456789", "IBAN DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR14 2004 1010 0505 0001 3M02 606"])
+def test_numbers_of_other_kinds(text):
+    assert hits(text) == []
+
+
 def test_parts_are_learnt():
     assert {"korv", "wexl"} <= NAMES.family.stems and {"berg", "ley"} <= NAMES.family.endings
     none = P.Names(P.Parts.learn([]), P.Parts.learn([]))
