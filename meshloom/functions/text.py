@@ -21,7 +21,9 @@ COMMERCE_TYPES = {"product": 1.5}
 #: Types that make a claim about content, which the page's structure may contradict.
 CONTENT_TYPES = ("article", "blog", "event", "news", "product", "status")
 # Path endings that are downloads.
-BINARY_PATH = r"^/file/|\.(zip|gz|tar|7z|rar|png|jpg|jpeg|gif|webp|mp3|mp4|pdf|bin|exe)$"
+BINARY_ENDINGS = (".pdf", ".epub", ".zip", ".gz", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".mp3", ".ogg", ".opus", ".mp4", ".bin", ".tar")
+#: Paths of downloads, in lower case: those of the file area, and those with such an ending.
+BINARY_PATH = "^/file/|(?:" + "|".join(e.replace(".", r"\.") for e in BINARY_ENDINGS) + r")\z"
 
 
 def normalize_query(q: Column) -> Column:

@@ -15,14 +15,14 @@ from .analytics import at, since
 
 
 def upsert_nodes(nodes: DataFrame, announces: DataFrame) -> DataFrame:
-    """Registry after announces ``dest_hash, name, ts``: the last name that isn't null, last seen, and counts. New nodes were never crawled."""
+    """Registry after announces ``dest_hash, name, ts``: the last name that isn't null, at most 200 characters of it, last seen, and counts. New nodes were never crawled."""
     named = F.when(F.col("name").isNotNull(), F.struct("ts", "name"))
     batch = announces.where(F.col("dest_hash").isNotNull()).groupBy("dest_hash").agg(
         F.max(named)["name"].alias("b_name"), F.min("ts").alias("b_first"), F.max("ts").alias("b_last"), F.count(F.lit(1)).alias("b_n")
     )
     both = nodes.join(batch, "dest_hash", "full_outer")
     return both.select(
-        "dest_hash", F.coalesce("b_name", F.left("name", F.lit(200))).alias("name"), F.coalesce("first_seen", "b_first").alias("first_seen"),
+        "dest_hash", F.coalesce(F.left("b_name", F.lit(200)), "name").alias("name"), F.coalesce("first_seen", "b_first").alias("first_seen"),
         F.coalesce("b_last", "last_seen").alias("last_seen"), (F.coalesce("announce_count", F.lit(0)) + F.coalesce("b_n", F.lit(0))).cast("int").alias("announce_count"),
         "last_crawled", "reachable",
     )
@@ -76,13 +76,16 @@ def record_pages(pages: DataFrame, batch: DataFrame, as_of: datetime) -> DataFra
 
 
 def record_links(links: DataFrame, batch: DataFrame) -> DataFrame:
-    """Links (one row a pair of urls) after a batch: a label stays where the new one is null or empty; links are never dropped."""
+    """Links (one row a pair of urls) after a batch: a label stays where the new one is null or empty, the target's node and path always; links are never dropped.
+
+    Of several labels in one batch the greatest is taken, as rows of a snapshot have no order.
+    """
     label = F.nullif("label", F.lit(""))
     both = links.select("from_url", "to_url", "to_node_hash", "to_path", label.alias("label"), F.lit(0).alias("order")).unionByName(
         batch.select("from_url", "to_url", "to_node_hash", "to_path", label.alias("label"), F.lit(1).alias("order"))
     )
     folded = both.groupBy("from_url", "to_url").agg(
-        F.max_by(F.struct("to_node_hash", "to_path"), "order").alias("x"),
+        F.min_by(F.struct("to_node_hash", "to_path"), F.struct("order", "to_node_hash", "to_path")).alias("x"),
         F.max(F.when(F.col("label").isNotNull(), F.struct("order", "label")))["label"].alias("label"),
     )
     return folded.select("from_url", "to_url", "x.to_node_hash", "x.to_path", "label")
@@ -148,9 +151,10 @@ def upsert_lexicon(lexicon: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def record_events(batch: DataFrame) -> DataFrame:
-    """View events as stored: node and path cut, an empty visitor null; rows without node or path are dropped."""
+    """View events ``ts, node, path, vid``, and ``id`` where they have one, as stored: node and path cut, an empty visitor null; rows without node or path are dropped."""
     node, path = F.nullif("node", F.lit("")), F.nullif("path", F.lit(""))
-    return batch.where(node.isNotNull() & path.isNotNull()).select("ts", F.left("node", F.lit(64)).alias("node"), F.left("path", F.lit(200)).alias("path"), F.nullif("vid", F.lit("")).alias("vid"))
+    own = [c for c in ("id", "ts") if c in batch.columns]
+    return batch.where(node.isNotNull() & path.isNotNull()).select(*own, F.left("node", F.lit(64)).alias("node"), F.left("path", F.lit(200)).alias("path"), F.nullif("vid", F.lit("")).alias("vid"))
 
 
 def record_searches(batch: DataFrame, shown: int = 20) -> DataFrame:

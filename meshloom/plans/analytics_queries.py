@@ -188,16 +188,15 @@ _DATED = r"""
 SELECT doc_id, raw, CASE WHEN full_part <> '' THEN try_strptime(left(full_part, 10) || ' ' || substr(full_part, 12, 5) || CASE WHEN length(full_part) > 16 THEN substr(full_part, 17) ELSE ':00' END, '%Y-%m-%d %H:%M:%S')
   WHEN day_part <> '' THEN try_strptime(day_part, '%Y-%m-%d') END AS d
 FROM (SELECT *, regexp_extract(raw, '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2})?') AS full_part, regexp_extract(raw, '^(\d{4}-\d{2}-\d{2})(?:\W|$)', 1) AS day_part
-  FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_extract(text, '\d{4}-\d{2}-\d{2}[^\n]{0,9}') ELSE strftime(fetched_at AT TIME ZONE 'UTC', '%Y-%m-%d') || CASE WHEN doc_id % 3 = 1 THEN 'T25:61' ELSE 'T10:30:00Z' END END AS raw FROM documents))"""
+  FROM (SELECT doc_id, unnest([regexp_extract(text, '\d{4}-\d{2}-\d{2}[^\n]{0,9}'), strftime(fetched_at AT TIME ZONE 'UTC', '%Y-%m-%d') || 'T25:61', strftime(fetched_at AT TIME ZONE 'UTC', '%Y-%m-%d') || 'T10:30:00Z']) AS raw FROM documents))"""
 
 
 @query(f"SELECT doc_id, raw, strftime(CASE WHEN d >= TIMESTAMP '2015-01-01' AND d <= TIMESTAMP '2025-07-02' THEN d END, '%Y-%m-%d %H:%M:%S') AS declared FROM ({_DATED})")
 def parse_declared_date(spark, folder):
-    docs = read(spark, folder, "documents")
-    kind = F.pmod("doc_id", F.lit(3))
+    """The first date in every text, and the day of every fetch with a time that can't be and with one that can."""
     day = F.date_format("fetched_at", "yyyy-MM-dd")
-    raw = F.when(kind == 0, F.regexp_extract("text", r"\d{4}-\d{2}-\d{2}[^\n]{0,9}", 0)).otherwise(F.concat(day, F.when(kind == 1, "T25:61").otherwise("T10:30:00Z")))
-    rows = docs.select("doc_id", raw.alias("raw"))
+    raws = F.array(F.regexp_extract("text", r"\d{4}-\d{2}-\d{2}[^\n]{0,9}", 0), F.concat(day, F.lit("T25:61")), F.concat(day, F.lit("T10:30:00Z")))
+    rows = read(spark, folder, "documents").select("doc_id", F.explode(raws).alias("raw"))
     return rows.select("doc_id", "raw", F.date_format(X.parse_declared_date(F.col("raw"), AS_OF), "yyyy-MM-dd HH:mm:ss").alias("declared"))
 
 
@@ -236,10 +235,21 @@ def junk_ratio(spark, folder):
     return read(spark, folder, "documents").select("doc_id", F.round(X.junk_ratio(F.col("text")), 6).alias("junk"))
 
 
-@query(r"""SELECT to_url, to_path, coalesce(regexp_matches(lower(to_path), '^/file/|\.(zip|gz|tar|7z|rar|png|jpg|jpeg|gif|webp|mp3|mp4|pdf|bin|exe)$'), false) AS binary_path FROM (SELECT DISTINCT to_url, to_path FROM links)""")
+#: Endings put behind real paths, so that both kinds are met: downloads, look-alikes, and none.
+_ENDINGS = ["", ".pdf", ".EPUB", ".zip", ".gz", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".mp3", ".ogg", ".opus", ".mp4", ".bin", ".tar", ".7z", ".rar", ".exe", ".pdf.mu", "epub", "/read.mu"]
+_VARIED = f"SELECT DISTINCT to_url, coalesce(to_path, '') || e AS path FROM links, (SELECT unnest({_ENDINGS!r}) AS e)"
+_DOWNLOAD = "(starts_with(lower(path), '/file/') OR " + " OR ".join(f"ends_with(lower(path), '{e}')" for e in (".pdf", ".epub", ".zip", ".gz", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".mp3", ".ogg", ".opus", ".mp4", ".bin", ".tar")) + ")"
+
+
+def _varied(spark: SparkSession, folder: str) -> DataFrame:
+    """The targets of all links, each path also with the endings above."""
+    ends = F.explode(F.array(*[F.lit(e) for e in _ENDINGS])).alias("e")
+    return read(spark, folder, "links").select("to_url", "to_path", ends).select("to_url", F.concat(F.coalesce("to_path", F.lit("")), "e").alias("path")).distinct()
+
+
+@query(f"SELECT to_url, path, {_DOWNLOAD} AS binary_path, NOT {_DOWNLOAD} AND NOT ends_with(path, '/read.mu') AS queued FROM ({_VARIED})")
 def binary_paths(spark, folder):
-    rows = read(spark, folder, "links").select("to_url", "to_path").distinct()
-    return rows.select("to_url", "to_path", F.coalesce(X.is_binary(F.col("to_path")), F.lit(False)).alias("binary_path"))
+    return _varied(spark, folder).select("to_url", "path", X.is_binary(F.col("path")).alias("binary_path"), X.may_enqueue(F.col("path")).alias("queued"))
 
 
 @query("SELECT id, coalesce(concat_ws(chr(10), nullif(title, ''), nullif(description, ''), nullif(headings, ''), nullif(content, '')), '') AS source, 'search_document: ' || left(nullif(trim(concat_ws(chr(10), nullif(title, ''), nullif(description, ''), nullif(headings, ''), nullif(content, ''))), ''), 2500) AS prompt FROM pages")
@@ -290,11 +300,13 @@ def trigram_similarity(spark, folder):
 # ------------------------------------------------------------------ changes of state
 
 
-@query(f"""WITH b AS (SELECT node AS dest_hash, min(ts) AS b_first, max(ts) AS b_last, count(*) AS b_n FROM page_events WHERE node IS NOT NULL GROUP BY node)
-SELECT dest_hash, left(name, 200) AS name, strftime(coalesce(first_seen, b_first) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(coalesce(b_last, last_seen) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS last_seen,
+@query(f"""WITH b AS (SELECT node AS dest_hash, min(ts) AS b_first, max(ts) AS b_last, count(*) AS b_n, max({{'ts': ts, 'name': repeat(path, 12)}}) FILTER (nullif(vid, '') IS NOT NULL AND path IS NOT NULL) AS named FROM page_events WHERE node IS NOT NULL GROUP BY node)
+SELECT dest_hash, coalesce(left(named.name, 200), name) AS name, strftime(coalesce(first_seen, b_first) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(coalesce(b_last, last_seen) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS last_seen,
   (coalesce(announce_count, 0) + coalesce(b_n, 0))::INT AS announce_count, reachable FROM nodes FULL JOIN b USING (dest_hash)""")
 def upsert_nodes(spark, folder):
-    announces = read(spark, folder, "page_events").select(F.col("node").alias("dest_hash"), F.lit(None).cast("string").alias("name"), "ts")
+    """Views stand for announces: those of a known visitor have a name, often a long one, the others have none."""
+    name = F.when(F.nullif("vid", F.lit("")).isNotNull(), F.repeat("path", F.lit(12)))
+    announces = read(spark, folder, "page_events").select(F.col("node").alias("dest_hash"), name.alias("name"), "ts")
     return U.upsert_nodes(read(spark, folder, "nodes"), announces).select("dest_hash", "name", stamp("first_seen"), stamp("last_seen"), "announce_count", "reachable")
 
 
@@ -314,19 +326,29 @@ def upsert_pages(spark, folder):
     return U.record_pages(oldest, D.latest_pages(pages).select(*oldest.columns), AS_OF).select("url", "title", "content_hash", stamp("last_changed"), stamp("first_seen"))
 
 
-@query("""SELECT from_url, to_url, max(nullif(label, '')) AS label FROM links GROUP BY from_url, to_url""")
+@query("""WITH old AS (SELECT from_url, to_url, max(nullif(label, '')) AS label, arg_min({'h': to_node_hash, 'p': to_path}, {'h': to_node_hash, 'p': to_path}) AS x FROM links GROUP BY ALL),
+ seen AS (SELECT from_url, CASE WHEN label LIKE '%a%' THEN to_url ELSE to_url || '#again' END AS to_url, to_node_hash, to_path, CASE WHEN label LIKE '%e%' THEN upper(label) ELSE '' END AS label FROM links),
+ new AS (SELECT from_url, to_url, max(nullif(label, '')) AS label FROM seen GROUP BY ALL)
+SELECT from_url, to_url, coalesce(new.label, old.label) AS label FROM old FULL JOIN new USING (from_url, to_url)""")
 def upsert_links(spark, folder):
+    """Every page is read again: some links have another label now, some none, and some lead elsewhere."""
     links = read(spark, folder, "links")
-    # of several labels in one batch the greatest is kept, as rows of a snapshot have no order
-    return U.record_links(links.limit(0), links).select("from_url", "to_url", "label")
+    old = U.record_links(links.limit(0), links)
+    to = F.when(F.col("label").like("%a%"), F.col("to_url")).otherwise(F.concat("to_url", F.lit("#again")))
+    label = F.when(F.col("label").like("%e%"), F.upper("label")).otherwise("")
+    again = links.select("from_url", to.alias("to_url"), "to_node_hash", "to_path", label.alias("label"))
+    return U.record_links(old, again).select("from_url", "to_url", "label")
 
 
-_NEW_TARGETS = "SELECT DISTINCT split_part(to_url, ':', 1) AS node_hash, substr(to_url, strpos(to_url, ':') + 1) AS path, to_url AS url FROM links WHERE to_url LIKE '%:/page/%'"
+_NEW_TARGETS = f"SELECT DISTINCT split_part(to_url, ':', 1) AS node_hash, substr(to_url, strpos(to_url, ':') + 1) || e AS path, to_url || e AS url FROM links, (SELECT unnest({_ENDINGS!r}) AS e) WHERE to_url LIKE '%:/page/%'"
 
 
-@query(f"""WITH {_QUEUE} SELECT url, node_hash, path FROM ({_NEW_TARGETS}) WHERE url NOT IN (SELECT url FROM queue) AND url NOT IN (SELECT url FROM pages WHERE ok AND fetched_at > {_AS_OF} - INTERVAL 720 HOUR)""")
+@query(f"""WITH {_QUEUE} SELECT url, node_hash, path FROM ({_NEW_TARGETS}) WHERE NOT {_DOWNLOAD} AND NOT ends_with(path, '/read.mu') AND url NOT IN (SELECT url FROM queue) AND url NOT IN (SELECT url FROM pages WHERE ok AND fetched_at > {_AS_OF} - INTERVAL 720 HOUR)""")
 def enqueue_fresh(spark, folder):
-    targets = read(spark, folder, "links").where(F.col("to_url").like("%:/page/%")).select(F.substring_index("to_url", ":", 1).alias("node_hash"), F.regexp_extract("to_url", "(?s)^[^:]*:(.*)$", 1).alias("path"), F.lit(5).alias("priority"))
+    links = read(spark, folder, "links").where(F.col("to_url").like("%:/page/%"))
+    ends = links.select("to_url", F.explode(F.array(*[F.lit(e) for e in _ENDINGS])).alias("e"))
+    path = F.concat(F.regexp_extract("to_url", "(?s)^[^:]*:(.*)$", 1), "e")
+    targets = ends.select(F.substring_index("to_url", ":", 1).alias("node_hash"), path.alias("path"), F.lit(5).alias("priority")).where(X.may_enqueue(F.col("path")))
     return U.enqueue(D.crawl_queue(spark, folder, AS_OF), targets, read(spark, folder, "pages"), AS_OF, 720).select("url", "node_hash", "path")
 
 
@@ -341,10 +363,60 @@ def backoff(spark, folder):
     return U.reschedule(queue, queue, AS_OF).select("url", "attempts", stamp("next_attempt"))
 
 
-@query(f"SELECT dest_hash AS node_hash, lower(dest_hash) || ':/page/index.mu' AS url FROM nodes WHERE (last_crawled IS NULL OR last_crawled < {_AS_OF} - INTERVAL 24 HOUR)")
+_ANNOUNCED = "announced AS (SELECT lower(dest_hash) || ':/page/index.mu' AS url FROM nodes WHERE announce_count > 3)"
+
+
+def _queue_after_announces(spark: SparkSession, folder: str) -> DataFrame:
+    """The queue with the index pages of the nodes announced often."""
+    queue = D.crawl_queue(spark, folder, AS_OF)
+    often = read(spark, folder, "nodes").where("announce_count > 3").select(F.lower("dest_hash").alias("node_hash"), F.lit("/page/index.mu").alias("path"), F.lit(3).alias("priority"))
+    return queue.unionByName(U.enqueue(queue, often, read(spark, folder, "pages"), AS_OF, 24))
+
+
+@query(f"""WITH {_QUEUE}, {_ANNOUNCED} SELECT dest_hash AS node_hash, lower(dest_hash) || ':/page/index.mu' AS url FROM nodes WHERE (last_crawled IS NULL OR last_crawled < {_AS_OF} - INTERVAL 24 HOUR)
+  AND lower(dest_hash) || ':/page/index.mu' NOT IN (SELECT url FROM queue UNION ALL SELECT url FROM announced)""")
 def recrawl_stale(spark, folder):
-    nodes = read(spark, folder, "nodes")
-    return U.enqueue_recrawl(nodes, D.crawl_queue(spark, folder, AS_OF).limit(0), AS_OF).select("node_hash", "url")
+    return U.enqueue_recrawl(read(spark, folder, "nodes"), _queue_after_announces(spark, folder), AS_OF).select("node_hash", "url")
+
+
+@query(f"WITH {_QUEUE}, {_ANNOUNCED} SELECT url, priority FROM queue UNION ALL SELECT url, 3 FROM announced WHERE url NOT IN (SELECT url FROM queue)")
+def enqueue_announced(spark, folder):
+    return _queue_after_announces(spark, folder).select("url", "priority")
+
+
+@query(f"WITH {_QUEUE} SELECT url, attempts FROM queue WHERE url NOT IN (SELECT to_url FROM links WHERE label LIKE '%a%')")
+def drop_queue(spark, folder):
+    """The queue after the targets of some links were fetched."""
+    done = read(spark, folder, "links").where(F.col("label").like("%a%")).select(F.col("to_url").alias("url"))
+    return U.drop_queue(D.crawl_queue(spark, folder, AS_OF), done).select("url", "attempts")
+
+
+@query(f"""WITH {_QUEUE}, held AS (SELECT url FROM queue WHERE next_attempt <= {_AS_OF} ORDER BY priority, next_attempt, url LIMIT 50)
+SELECT url, attempts, strftime((CASE WHEN url IN (SELECT url FROM held) THEN {_AS_OF} + INTERVAL 75 SECOND ELSE next_attempt END) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS next_attempt FROM queue""")
+def lease_due(spark, folder):
+    queue = D.crawl_queue(spark, folder, AS_OF)
+    return U.lease(queue, U.claim_due(queue, AS_OF, 50), AS_OF).select("url", "attempts", stamp("next_attempt"))
+
+
+@query("""WITH v AS (SELECT id, first(embedding ORDER BY id) AS e FROM (SELECT p.id, q.embedding FROM pages p JOIN pages q ON p.content_hash = q.content_hash WHERE p.embedding IS NULL AND q.embedding IS NOT NULL AND len(q.embedding) = 64) GROUP BY id)
+SELECT id, embedding IS NOT NULL AS before, coalesce(len(v.e), len(embedding))::INT AS size FROM pages LEFT JOIN v USING (id)""")
+def set_embeddings(spark, folder):
+    """Pages without an embedding get that of a page of the same content."""
+    pages = read(spark, folder, "pages")
+    known = pages.where("embedding IS NOT NULL AND size(embedding) = 64").groupBy("content_hash").agg(F.min_by("embedding", "id").alias("embedding"))
+    vectors = pages.where("embedding IS NULL").select("id", "content_hash").join(known, "content_hash").select("id", "embedding")
+    put = U.set_embeddings(pages, vectors).select("id", F.size("embedding").alias("size"))
+    return put.join(pages.select("id", F.col("embedding").isNotNull().alias("before")), "id").select("id", "before", F.when(F.col("size") >= 0, F.col("size")).alias("size"))
+
+
+@query(f"""WITH d AS ({_DATED}), v AS (SELECT doc_id, raw, CASE WHEN d >= TIMESTAMP '2015-01-01' AND d <= TIMESTAMP '2025-07-02' THEN d END AS d FROM d),
+k AS (SELECT doc_id, max(d) FILTER (raw LIKE '%T25:61') AS a, max(d) FILTER (raw NOT LIKE '%T25:61' AND raw NOT LIKE '%T10:30:00Z') AS b, max(d) FILTER (raw LIKE '%T10:30:00Z') AS c FROM v GROUP BY doc_id)
+SELECT doc_id, strftime(coalesce(a, b, c), '%Y-%m-%d %H:%M:%S') AS declared FROM k""")
+def effective_declared_date(spark, folder):
+    """``updated`` holds a time that can't be, ``published`` the first date in the text, ``date`` the time of the fetch."""
+    day = F.date_format("fetched_at", "yyyy-MM-dd")
+    declared = X.effective_declared_date(F.concat(day, F.lit("T25:61")), F.regexp_extract("text", r"\d{4}-\d{2}-\d{2}[^\n]{0,9}", 0), F.concat(day, F.lit("T10:30:00Z")), AS_OF)
+    return read(spark, folder, "documents").select("doc_id", F.date_format(declared, "yyyy-MM-dd HH:mm:ss").alias("declared"))
 
 
 @query(f"SELECT dest_hash, coalesce(x.ok, reachable) AS reachable, CASE WHEN x.ok IS NOT NULL THEN '2025-07-01 00:00:00' ELSE strftime(last_crawled AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') END AS last_crawled FROM nodes LEFT JOIN (SELECT node_hash, bool_or(ok) AS ok FROM pages GROUP BY 1) x ON node_hash = dest_hash")
@@ -362,10 +434,10 @@ def refresh_anchors(spark, folder):
     return both.select("id", F.coalesce("new", "old").alias("anchors"), (F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("old"))).alias("changed"))
 
 
-@query("SELECT id, left(nullif(node, ''), 64) AS node, left(nullif(path, ''), 200) AS path, nullif(vid, '') AS vid FROM page_events WHERE node <> '' AND path <> ''")
+@query("SELECT id, left(node, 64) AS node, left(repeat(path, 12), 200) AS path, nullif(vid, '') AS vid FROM page_events WHERE node <> '' AND path <> ''")
 def record_events(spark, folder):
-    events = read(spark, folder, "page_events")
-    return events.where((F.col("node") != "") & (F.col("path") != "")).select("id", F.left("node", F.lit(64)).alias("node"), F.left("path", F.lit(200)).alias("path"), F.nullif("vid", F.lit("")).alias("vid"))
+    events = read(spark, folder, "page_events").withColumn("path", F.repeat("path", F.lit(12)))  # some paths are then too long
+    return U.record_events(events).select("id", "node", "path", "vid")
 
 
 @query(f"WITH {_SEARCHES} SELECT q, results, [q] AS shown_urls FROM searches")
