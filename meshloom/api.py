@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DEFAULT, EngineConfig
+from .functions.text import query_hash
 from .operators import federation, results
 from .operators.ranking import search
 from .operators.retrieval import Request
 from .operators.suggest import suggest
-from .operators.upserts import record_searches
+from .operators.upserts import record_searches, upsert_clicks
 
 VERSION = 1
 #: What each operation takes and gives; a mark shows what must be there.
@@ -23,7 +25,7 @@ MANIFEST = {
     "v": VERSION,
     "ops": {
         "search": {"in": {"q": "string!", "limit": "int", "offset": "int", "type": "string"}, "out": {"res": "list", "total": "int", "offset": "int", "limit": "int", "suggestion": "string"}},
-        "click": {"in": {"url": "string!"}, "out": {}},
+        "click": {"in": {"url": "string!", "q": "string"}, "out": {}},
     },
     "query": 'words must all occur, "words" in a row, or gives alternatives, -word excludes',
 }
@@ -44,9 +46,28 @@ def _whole(value, default: int) -> int:
         return default
 
 
+class Bucket:
+    """Tokens of each link: one a request, refilled at ``rate`` a second up to ``burst``. Of more than ``many`` links those idle for long are forgotten."""
+
+    def __init__(self, config: EngineConfig, clock: Callable[[], float], many: int = 512):
+        self.config, self.clock, self.many = config, clock, many
+        self.held: dict[str | None, tuple[float, float]] = {}
+
+    def allow(self, link: str | None) -> bool:
+        c, now = self.config, self.clock()
+        tokens, last = self.held.get(link, (c.rate_burst, now))
+        tokens = min(c.rate_burst, tokens + (now - last) * c.rate_per_second)
+        self.held[link] = (tokens - 1 if tokens >= 1 else tokens, now)
+        if len(self.held) > self.many:
+            self.held = {k: v for k, v in self.held.items() if now - v[1] <= c.idle_seconds}
+        return tokens >= 1
+
+
 @dataclass
 class Service:
-    """Answers requests over snapshots. ``embed`` gives a query's vector or none; ``federate`` the hits of another service; ``log`` takes the rows to append."""
+    """Answers requests over snapshots. ``embed`` gives a query's vector or none; ``federate`` the hits of another service; ``log`` takes
+    a table's name and the rows that it gets: appended, or for ``clicks`` put in place of the url's row. Clicks since the snapshot count in
+    later searches; whoever takes a new snapshot makes a new service."""
 
     spark: SparkSession
     tables: dict[str, DataFrame]
@@ -55,14 +76,22 @@ class Service:
     embed: Callable[[str], tuple[float, ...] | None] = lambda q: None
     federate: Callable[[str, int], DataFrame | None] = lambda q, n: None
     log: Callable[[str, DataFrame], None] = lambda table, rows: None
+    clock: Callable[[], float] = time.monotonic
+    clicked: list[tuple] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.bucket = Bucket(self.config, self.clock)
 
-    def handle(self, raw: str | bytes | dict) -> dict:
+    def handle(self, raw: str | bytes | dict, link: str | None = None) -> dict:
+        """The reply to a request that came over a link; links that ask too often are refused."""
         try:
             request = raw if isinstance(raw, dict) else json.loads(raw)
             if not isinstance(request, dict):
                 raise ValueError
         except ValueError:
             return error({}, "bad_encoding")
+        if not self.bucket.allow(link):
+            return error(request, "rate_limited")
         op = request.get("op")
         if op == "__manifest__":
             return ok(request, manifest=MANIFEST)
@@ -79,17 +108,26 @@ class Service:
             return error(request, "backend_error", type(problem).__name__)
 
     def _click(self, request: dict) -> dict:
-        row = self.spark.createDataFrame([(self.as_of, None, str(request["url"]))], "ts timestamp, query_hash string, url string")
-        self.log("click_events", row)
+        url = str(request["url"])
+        row = self.spark.createDataFrame([(self.as_of, str(request.get("q") or ""), url)], "ts timestamp, q string, url string")
+        self.log("click_events", row.select("ts", query_hash(F.col("q")).alias("query_hash"), "url"))
+        self.clicked.append((self.as_of, url))
+        self.log("clicks", self._clicks().where(F.col("url") == url))
         return ok(request)
 
+    def _clicks(self) -> DataFrame:
+        """The counts of the snapshot with the clicks since then."""
+        known = self.tables["clicks"]
+        return upsert_clicks(known, self.spark.createDataFrame(self.clicked, "ts timestamp, url string")) if self.clicked else known
+
     def _search(self, request: dict) -> dict:
         c, t, q = self.config, self.tables, str(request["q"])
         size, offset = min(max(_whole(request.get("limit"), c.page_size), 1), c.page_size_max), max(_whole(request.get("offset"), 0), 0)
         kind = request.get("type") or None
-        found = search(t["pages"], t["nodes"], t["links"], t["clicks"], [Request(1, q, kind, size, offset, self.embed(q))], self.as_of, c)
+        clicks = self._clicks()
+        found = search(t["pages"], t["nodes"], t["links"], clicks, [Request(1, q, kind, size, offset, self.embed(q))], self.as_of, c)
         if kind in (None, "wiki") and (hits := self.federate(q, c.federated_cap)) is not None:
-            found = federation.merged(found, federation.federated(hits), t["links"], t["clicks"])
+            found = federation.merged(found, federation.federated(hits), t["links"], clicks)
         placed = results.node_crowding(results.folded(found), c.node_cap, size)
         rows = placed.orderBy("pos").collect()  # some dozens at most
         total = len(rows)

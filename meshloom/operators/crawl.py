@@ -79,6 +79,14 @@ def found_links(fetched: DataFrame, config: EngineConfig = DEFAULT) -> tuple[Dat
     return links, queue
 
 
+def linked_nodes(fetched: DataFrame, as_of: datetime) -> DataFrame:
+    """``dest_hash, name, ts`` as from announces without a name: the other nodes that the good fetches link to, once for each link that may be crawled."""
+    links, _ = found_links(fetched)
+    own = F.substring_index("from_url", ":", 1)
+    other = links.where(X.may_enqueue(F.col("to_path")) & ~F.col("to_node_hash").eqNullSafe(own))
+    return other.select(F.col("to_node_hash").alias("dest_hash"), F.lit(None).cast("string").alias("name"), F.lit(as_of).cast("timestamp").alias("ts"))
+
+
 def maintenance(tables: dict[str, DataFrame], as_of: datetime, config: EngineConfig = DEFAULT) -> dict[str, DataFrame]:
     """What the hourly sweep changes: stale nodes to queue again, the lexicon, anchors, and pages that need an embedding. ``tables`` are snapshots by name."""
     pages, links = tables["pages"], tables["links"]

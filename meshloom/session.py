@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -29,17 +31,20 @@ def local_session(cpus: int = 8, memory: str = "8g", app: str = "meshloom") -> S
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that cuts lineage: the session's own setting, or a local one where none is set.
+    """The shared folder that cuts lineage: the session's own setting, or a local one where none is set and the session is a single JVM.
 
-    A cluster names it in ``spark.checkpoint.dir``; only then do all executors reach it. The local
-    fallback serves single-JVM sessions.
+    A cluster must name it in ``spark.checkpoint.dir``, as only then all executors reach it. The local folder is removed at the end.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     if not named:
-        named = os.path.join(tempfile.gettempdir(), f"meshloom-checkpoint-{os.getpid()}")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        named = tempfile.mkdtemp(prefix="meshloom-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir()
 
@@ -63,4 +68,5 @@ def spread(df, scan=None):
     ``scan`` must be a plain read, whose parts are known without running anything; by default it is ``df`` itself.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    # the number of parts is asked of the plan; nothing is worked on as an RDD
     return df.repartition(cores) if (scan or df).rdd.getNumPartitions() < cores else df

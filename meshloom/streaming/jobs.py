@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import DEFAULT
+from ..config import DEFAULT, EngineConfig
 from ..functions.text import visitor_id
+from ..operators import upserts
 from ..operators.upserts import record_events, upsert_nodes
 from ..sources import tables
 
@@ -24,12 +25,62 @@ def announces_to_registry(announces: DataFrame, folder: str, checkpoint: str) ->
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.createDataFrame([], tables.NODES) if number == 0 else spark.read.schema(tables.NODES).parquet(f"{folder}/nodes/v={number - 1:012d}")
-        tables.write_snapshot(upsert_nodes(old, batch), folder, "nodes", number)
+        tables.write_snapshot(upsert_nodes(_version(spark, folder, "nodes", number), batch), folder, "nodes", number)
 
     return announces.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def announces_to_queue(announces: DataFrame, folder: str, checkpoint: str, pages: DataFrame, config: EngineConfig = DEFAULT) -> StreamingQuery:
+    """Queues the index page of each announced node of a stream ``dest_hash, ts``, those of seed nodes first, unless it is queued or was fetched well of late.
+
+    Versions are named by their batches, as those of the registry. A batch is taken to be worked at the time of its last announce.
+    """
+
+    def fold(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = _version(spark, folder, "crawl_queue", number)
+        last = batch.agg(F.max("ts")).first()[0]
+        if last is not None:
+            node = F.lower("dest_hash")
+            first = F.when(node.isin(*sorted(config.seed_nodes)), 1).otherwise(3) if config.seed_nodes else F.lit(3)
+            wanted = batch.where("dest_hash IS NOT NULL").select(node.alias("node_hash"), F.lit("/page/index.mu").alias("path"), first.alias("priority"))
+            old = old.unionByName(upserts.enqueue(old, wanted, pages, last, config.recrawl_hours))
+        tables.write_snapshot(old, folder, "crawl_queue", number)
+
+    return announces.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def leases(requests: DataFrame, folder: str, checkpoint: str, config: EngineConfig = DEFAULT) -> StreamingQuery:
+    """Gives each request ``worker, ts`` of a stream an item of the queue that is due, as long as there are any: the claims ``worker, url,
+    node_hash, path, attempts`` and the queue without them until their lease ends are written as versions under ``folder``.
+
+    The queue's first version is the one before the first batch (``v=0``), so batch n reads version n and writes version n + 1; a batch
+    run again gives the same claims. All requests of a batch are answered at the time of the last one.
+    """
+
+    def fold(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        queue = spark.read.schema(tables.CRAWL_QUEUE).parquet(f"{folder}/crawl_queue/v={number:012d}")
+        asking = batch.agg(F.max("ts").alias("last"), F.count(F.lit(1)).alias("n")).first()
+        claims = spark.createDataFrame([], "worker string, url string, node_hash string, path string, attempts int")
+        if asking["n"]:
+            due = upserts.claim_due(queue, asking["last"], asking["n"])
+            # requests and items are at most one row a worker, and meet by their place in line
+            line = lambda df, *by: df.withColumn("place", F.row_number().over(Window.orderBy(*by)))
+            claims = line(batch, "ts", "worker").join(line(due, "priority", "next_attempt", "url"), "place").select("worker", "url", "node_hash", "path", "attempts")
+            queue = upserts.lease(queue, due, asking["last"], config.lease_seconds)
+        tables.write_snapshot(claims, folder, "claims", number)
+        tables.write_snapshot(queue, folder, "crawl_queue", number + 1)
+
+    return requests.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _version(spark: SparkSession, folder: str, table: str, number: int) -> DataFrame:
+    """The version that the batch before wrote, empty before the first."""
+    schema = tables.SCHEMAS[table]
+    return spark.createDataFrame([], schema) if number == 0 else spark.read.schema(schema).parquet(f"{folder}/{table}/v={number - 1:012d}")
+
+
 def ingest_views(bodies: DataFrame) -> DataFrame:
     """Request bodies ``ts, body`` as view rows; the visitor's id is hashed at once. Malformed bodies and those without node or path are dropped."""
     seen = bodies.select("ts", F.from_json("body", "node string, path string, rid string, link string").alias("b"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meshloom.api import Service, known_page
 from meshloom.config import EngineConfig
 from meshloom.functions.declared import declared, structural_type
+from meshloom.functions.text import query_hash
 from meshloom.operators import crawl
 from meshloom.sources import derived, tables
 
@@ -55,10 +56,40 @@ def test_service(spark):
     assert "content_hash" not in reply["res"][0] and logged[0][0] == "searches" and logged[0][1][0].results == reply["total"]
     thin = service.handle({"op": "search", "v": 1, "q": "harbor staton"})
     assert thin["total"] == 0 and thin["suggestion"] == "harbour station"
-    assert service.handle({"op": "click", "v": 1, "url": "u"}) == {"v": 1, "ok": True} and logged[-1][0] == "click_events"
+    assert service.handle({"op": "click", "v": 1, "url": "u"}) == {"v": 1, "ok": True} and [name for name, _ in logged[-2:]] == ["click_events", "clicks"]
+    assert logged[-2][1][0].query_hash is None and logged[-1][1][0].clicks == 1
+    top = reply["res"][-1]
+    for n in (1, 2):
+        service.handle({"op": "click", "v": 1, "url": top["url"], "q": " Harbour  Station "}, f"link{n}")
+    known = clicks.where(F.col("url") == top["url"]).first()
+    assert logged[-1][1][0].clicks == 2 + (known.clicks if known else 0) and logged[-1][1][0].last_clicked == AS_OF.replace(tzinfo=None)
+    want = spark.range(1).select(query_hash(F.lit("harbour station"))).first()[0]
+    assert logged[-2][1][0].query_hash == want and logged[-2][1][0].url == top["url"]
+    again = service.handle({"op": "search", "v": 1, "q": "harbour station", "limit": 20}, "other")
+    assert next(r["score"] for r in again["res"] if r["url"] == top["url"]) > top["score"]
     assert known_page(pages, pages.where("ok").first().url) and not known_page(pages, "nowhere")
 
 
+def test_rate_limit(spark):
+    now = [0.0]
+    service = Service(spark, {}, AS_OF, clock=lambda: now[0])
+    asked = lambda link: service.handle({"op": "__manifest__", "id": 3}, link)
+    assert [asked("a")["ok"] for _ in range(7)] == [True] * 6 + [False]
+    assert asked("a") == {"v": 1, "ok": False, "err": "rate_limited", "id": 3} and asked("b")["ok"] and asked(None)["ok"]
+    now[0] = 0.5
+    assert asked("a")["ok"] and not asked("a")["ok"]
+    now[0] = 1000.0
+    for k in range(600):
+        asked(f"l{k}")
+    assert "a" not in service.bucket.held and service.handle("{", "a")["err"] == "bad_encoding"
+
+
+def test_linked_nodes(spark):
+    rows = [(f"{N}:/page/p.mu", N, "/page/p.mu", f"`[A`{'b' * 32}:/page/a.mu] `[B`{'c' * 32}:/page/read.mu`ref=1] `[C`:/page/own.mu] `[D`{'d' * 32}:/file/x.epub]".encode(), 7, True)]
+    fetched = spark.createDataFrame(rows, "url string, node_hash string, path string, raw binary, fetch_ms int, ok boolean")
+    assert [(r.dest_hash, r.name) for r in crawl.linked_nodes(fetched, AS_OF).collect()] == [("b" * 32, None)]
+
+
 def test_maintenance(spark):
     page = dict.fromkeys(tables.PAGES.names) | {"id": 1, "url": "n:/p", "ok": True, "title": "two words", "content": "two words"}
     pages = spark.createDataFrame([tuple(page.values()), tuple((page | {"id": 2, "url": "n:/q"}).values())], tables.PAGES)
