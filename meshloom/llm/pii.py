@@ -2,25 +2,26 @@
 
 Emails, phone and identity numbers and postal addresses are found by the forms they're written in;
 names by the given and family names in use, of which hints are known: hints are parted into stems and
-endings, and any known stem with any known ending is a name too. Every entity gets a replacement of
-its own type, form, script and gender, derived from a key; equal entities get equal replacements
+endings, and any known stem with any known ending is a name too. Every entity gets a replacement
+derived from a key (``surrogates``); equal entities get equal replacements
 wherever they stand, and a check over the whole corpus keeps different ones different.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .surrogates import ATTEMPTS, PLACE_WORD, Surrogates, email_parts, family_base, phone_parts, place_base
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -327,75 +328,8 @@ def detect(text: str | None, names: Names) -> list[tuple[int, int, str]]:
 
 # ---------------------------------------------------------------- surrogates
 
-#: Attempts that keep the form, and attempts in all; conflicts up to this number are broadcast, more are joined.
-PLAIN_ATTEMPTS, ATTEMPTS, BROADCAST_ROWS = 8, 40, 300_000
-_VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
-_CYRILLIC_VOWELS, _CYRILLIC = "аеиоу", "бвгджзклмнпрстфх"
-
-
-class Surrogates:
-    """Replacements derived from a key: the same for the same entity, of the same form."""
-
-    def __init__(self, key: str, others: dict[tuple[str, str], int] | None = None):
-        self.key = hashlib.blake2b(key.encode(), digest_size=32).digest()
-        self.others = others or {}  # attempts of the components whose first replacement was taken
-        order = sorted(range(26), key=lambda k: hashlib.blake2b(bytes([k]), key=self.key).digest())
-        self.initials = {chr(97 + k): chr(97 + v) for k, v in enumerate(order)}
-
-    def _stream(self, kind: str, value: str, attempt: int) -> Iterator[int]:
-        block = 0
-        while True:
-            yield from hashlib.blake2b(f"{kind}\0{value}\0{attempt}\0{block}".encode(), key=self.key, digest_size=64).digest()
-            block += 1
-
-    def shape(self, kind: str, value: str, form: str, keep: int = 0, attempt: int | None = None) -> str:
-        """``form`` with each letter and digit replaced: vowels by vowels, consonants by consonants, capitals by capitals, script by script; the last ``keep`` characters stay."""
-        attempt = self.others.get((kind, value), 0) if attempt is None else attempt
-        if attempt > PLAIN_ATTEMPTS:  # where a form has too few replacements, it is lengthened
-            form = form[: len(form) - keep] + ("0" if form[-1:].isdigit() else "a") * (attempt - PLAIN_ATTEMPTS) + form[len(form) - keep :]
-        stream, out = self._stream(kind, value, attempt), []
-        for k, ch in enumerate(form):
-            low = ch.lower()
-            if k >= len(form) - keep or not ch.isalnum():
-                out.append(ch)
-                continue
-            n = next(stream)
-            if ch.isdigit():
-                new = str(n % 10)
-            elif "а" <= low <= "я" or low == "ё":
-                pool = _CYRILLIC_VOWELS if low in "аеёиоуыэюя" else _CYRILLIC
-                new = pool[n % len(pool)]
-            else:
-                pool = _VOWELS if low in "aeiouyàáâãäåèéêëìíîïòóôõöùúûü" else _CONSONANTS
-                new = pool[n % len(pool)]
-            out.append(new.upper() if ch.isupper() else new)
-        return "".join(out)
-
-    def given(self, word: str, attempt: int | None = None) -> str:
-        """A given name: its initial by a fixed permutation, so initials alone still fit, and its ending, which shows the gender, kept."""
-        low = word.lower()
-        if len(low) == 2 and low[1] == ".":
-            new = self.initials.get(low[0], low[0]) + "."
-        else:
-            keep = 3 if len(low) > 5 else 2
-            new = self.shape("given", low, low, keep, attempt)
-            new = self.initials.get(low[0], new[0]) + new[1:]
-        return new.upper() if word.isupper() and len(word) > 2 else new[0].upper() + new[1:]
-
-    def family(self, word: str, attempt: int | None = None) -> str:
-        new = "-".join(self.shape("family", p.lower(), p.lower(), 0, attempt).capitalize() for p in word.split("-"))
-        return new.upper() if word.isupper() else new
-
-    def component(self, kind: str, value: str, attempt: int) -> str:
-        """The replacement of one component by itself, for the check of collisions."""
-        if kind == "given":
-            return self.given(value, attempt).lower()
-        return self.shape(kind, value, value, 0, attempt)
-
-    def replace(self, kind: str, hit: str, names: Names) -> str:
-        if kind == "name":
-            return _TOKEN.sub(lambda m: self.given(m[0]) if _is_given(m[0], hit, names) else self.family(m[0]), hit)
-        return self.shape(kind, canonical(kind, hit), hit)
+#: Conflicts up to this number are broadcast, more are joined.
+BROADCAST_ROWS = 300_000
 
 
 def _is_given(word: str, hit: str, names: Names) -> bool:
@@ -408,33 +342,52 @@ def _is_given(word: str, hit: str, names: Names) -> bool:
     return (word == tokens[-1]) if "," in hit else (word != tokens[-1])
 
 
+_ANY_AT, _ANY_DOT = re.compile(rf"{_AT}|{_SPOKEN_AT}"), re.compile(_DOT)
+
+
 def canonical(kind: str, hit: str) -> str:
-    """One spelling for all forms in which the same entity is written."""
+    """One spelling for all forms in which the same entity is written; of phone numbers the part within the country."""
     if kind == "email":
-        bare = re.sub(rf"{_AT}|{_SPOKEN_AT}", "@", hit, count=1)
-        return re.sub(_DOT, ".", bare).lower()
+        at = _ANY_AT.search(hit)
+        return (hit[: at.start()] + "@" + _ANY_DOT.sub(".", hit[at.end() :])).lower()
     if kind == "phone":
-        return re.sub(r"\D", "", hit)
+        return phone_parts(hit)[1]
     if kind == "id_number":
         return re.sub(r"[^0-9A-Z]", "", hit.upper())
     return " ".join(hit.lower().split())
 
 
 def components(kind: str, hit: str, names: Names) -> list[tuple[str, str]]:
-    """What must stay distinct: the entity, or each part of a name."""
-    if kind != "name":
+    """What must stay distinct: a number, a mailbox and its domain, the words of a place, each part of a name."""
+    if kind in ("phone", "id_number"):
         return [(kind, canonical(kind, hit))]
+    if kind == "email":
+        bare = canonical(kind, hit)
+        return [("mailbox", bare), ("domain", email_parts(bare)[1])]
+    if kind == "address":
+        return [("place", base) for w in PLACE_WORD.findall(hit) if (base := place_base(w))]
     out = []
     for w in _TOKEN.findall(hit):
         if len(w) == 2 and w[1] == ".":
             continue
-        if _is_given(w, hit, names):
-            out.append(("given", w.lower()))
-        else:
-            out += [("family", p) for p in w.lower().split("-")]
+        given = _is_given(w, hit, names)
+        out += [("given", p.lower().replace("’", "'")) if given else ("family", family_base(p)) for p in w.split("-")]
     return out
 
 
+def replace(s: Surrogates, kind: str, hit: str, names: Names) -> str:
+    """The surrogate of an item as it stands in a text."""
+    if kind == "name":
+        return _TOKEN.sub(lambda m: s.name_part(m[0], _is_given(m[0], hit, names)), hit)
+    if kind == "phone":
+        return s.phone(hit)
+    if kind == "address":
+        return s.address(hit)
+    if kind == "email":
+        return s.email(hit, canonical(kind, hit), _ANY_AT.search(hit).span(), _ANY_DOT)
+    return s.id_number(hit, canonical(kind, hit))
+
+
 def entities(documents: DataFrame, names: Names, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, start, stop, kind, hit`` of each item found; ``text[start:stop]`` is the hit, in characters from 0.
 
@@ -479,60 +432,70 @@ def conflicts(found: DataFrame, names: Names, secret: str) -> DataFrame:
     parts = found.select("kind", "hit").distinct().mapInArrow(split, "kind string, value string").distinct()
     parts = materialise(parts.withColumn("attempt", F.lit(0)))
     real = parts.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
-    for _ in range(ATTEMPTS):
+    for _ in range(ATTEMPTS):  # words grow with the attempts, so none is left without a replacement unless something is wrong
         made = materialise(parts.mapInArrow(replaced, "kind string, value string, attempt int, new string"))
         keeps = made.groupBy("kind", "new").agg(F.min("value").alias("keeps"), F.count(F.lit(1)).alias("n"))
         clash = keeps.join(real, ["kind", "new"], "left").where((F.col("n") > 1) | F.col("real"))
         losers = materialise(made.join(clash, ["kind", "new"]).where((F.col("value") != F.col("keeps")) | F.col("real")).select("kind", "value", F.lit(1).alias("again")))
         if losers.isEmpty():
-            break
+            return parts.where("attempt > 0")
         parts = materialise(parts.join(losers, ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")))
-    return parts.where("attempt > 0")
+    raise RuntimeError(f"after {ATTEMPTS} attempts some surrogates aren't distinct yet")
 
 
 def redact(documents: DataFrame, names: Names, secret: str, template: str = "<{kind}:{surrogate}>", key: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``key, text`` of every document, each item found replaced by a placeholder of its kind that holds its surrogate. Null stays null, the rest of the text as it is.
 
-    Most surrogates follow from the key alone. The few components in conflict are broadcast, or, if they're more
-    than ``broadcast_rows``, joined to the documents that hold them.
+    Texts are searched once: what was found is written beside them. Most surrogates follow from the key alone. The few components in
+    conflict are broadcast, or, if they're more than ``broadcast_rows``, joined to the documents that hold them.
     """
     spark = documents.sparkSession
-    others = conflicts(entities(documents, names, key, text), names, secret)
+    names_there = spark.sparkContext.broadcast(names)
+    kind_of_key = documents.schema[key].dataType.simpleString()
+    item = "start:int,stop:int,kind:string,hit:string"
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[(x, y, k, t[x:y]) for x, y, k in detect(t, names_there.value)] for t in b.column(1).to_pylist()]
+            flat = [x for xs in found for x in xs]
+            columns = [pa.array([x[j] for x in flat], kind) for j, kind in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))]
+            offsets = pa.array([0, *accumulate(map(len, found))], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, names=["start", "stop", "kind", "hit"]))], names=["key", "text", "found"])
+
+    searched = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(search, f"key {kind_of_key}, text string, found array<struct<{item}>>")
+    searched = materialise(searched.withColumn("row", F.monotonically_increasing_id()))
+    others = conflicts(searched.select(F.inline("found")), names, secret)
     few = others.count() <= broadcast_rows
     known = {(r["kind"], r["value"]): r["attempt"] for r in others.collect()} if few else {}
-    shared = spark.sparkContext.broadcast((names, secret, known))
-    kind_of_key = documents.schema[key].dataType.simpleString()
+    shared = spark.sparkContext.broadcast((secret, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, secret, known = shared.value
+        secret, known = shared.value
         s = Surrogates(secret, known)
         for b in batches:
-            own = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
+            own = b.column(3).to_pylist() if b.num_columns > 3 else [None] * b.num_rows
             out = []
-            for t, more in zip(b.column(1).to_pylist(), own):
+            for t, found, more in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), own):
                 if more is not None:
                     s.others = {(m["kind"], m["value"]): m["attempt"] for m in more}
                 pieces, at = [], 0
-                for start, stop, kind in detect(t, names):
-                    pieces += [t[at:start], template.format(kind=kind, surrogate=s.replace(kind, t[start:stop], names))]
-                    at = stop
+                for x in found:
+                    pieces += [t[at : x["start"]], template.format(kind=x["kind"], surrogate=replace(s, x["kind"], x["hit"], names_there.value))]
+                    at = x["stop"]
                 out.append(None if t is None else "".join(pieces) + t[at:])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[key, "text"])
 
     schema = f"`{key}` {kind_of_key}, text string"
-    rows = documents.select(F.col(key), F.col(text))
     if few:
-        return rows.mapInArrow(run, schema)
+        return searched.select("key", "text", "found").mapInArrow(run, schema)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = shared.value[0]
         for b in batches:
-            each = [{c for start, stop, kind in detect(t, names) for c in components(kind, t[start:stop], names)} for t in b.column(1).to_pylist()]
+            each = [{c for x in found for c in components(x["kind"], x["hit"], names_there.value)} for found in b.column(1).to_pylist()]
             at, flat = [k for k, cs in enumerate(each) for _ in cs], [c for cs in each for c in cs]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([k for k, _ in flat], pa.string()), pa.array([v for _, v in flat], pa.string())], names=["row", "kind", "value"])
 
-    numbered = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
-    wanted = numbered.select("row", text).mapInArrow(held, "row bigint, kind string, value string").join(others, ["kind", "value"])
+    wanted = searched.select("row", "found").mapInArrow(held, "row bigint, kind string, value string").join(others, ["kind", "value"])
     per_row = wanted.groupBy("row").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("more"))
     none = F.array().cast("array<struct<kind:string,value:string,attempt:int>>")
-    return numbered.join(per_row, "row", "left").select(key, text, F.coalesce("more", none).alias("more")).mapInArrow(run, schema)
+    return searched.join(per_row, "row", "left").select("key", "text", "found", F.coalesce("more", none).alias("more")).mapInArrow(run, schema)
