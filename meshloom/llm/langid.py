@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import FUNCTION_WORDS
+from .words import function_words
 
-LANGUAGES = tuple(FUNCTION_WORDS)
+LANGUAGES = ("en", "de", "fr", "es", "pt", "ru")
 #: Families of the languages: Germanic, Romance, Slavic.
 FAMILIES = (("en", "de"), ("fr", "es", "pt"), ("ru",))
 
@@ -291,7 +291,7 @@ def fit(pages: DataFrame, c: LangConfig = LangConfig()) -> Machines:
     # each task keeps no more rows of a language than are wanted in all before any are gathered
     few = labelled.select("label", "h", F.row_number().over(Window.partitionBy("label").orderBy("h")).alias("rn")).where(F.col("rn") <= c.sample_rows)
     rows = labelled.join(F.broadcast(few.select("label", "h")), ["label", "h"], "left_semi").dropDuplicates(["h"]).orderBy("h").select("label", "content").limit(c.sample_rows * len(LANGUAGES)).collect()
-    seeds = [(lang, " ".join(ws[k : k + 6])) for lang, text in FUNCTION_WORDS.items() for ws in [text.split()] for k in range(0, len(ws), 6)]
+    seeds = [(lang, " ".join(ws[k : k + 6])) for lang, ws in function_words(pages.sparkSession, LANGUAGES).items() for k in range(0, len(ws), 2)]
 
     def pick(kept: list[tuple[str, str]]) -> Machines:
         own: dict[str, list[str]] = {lang: [] for lang in LANGUAGES}

@@ -1,22 +1,24 @@
-"""Common function words of the six languages."""
+"""Function words of languages, from the public lists that come with Spark's machine learning library."""
 
-# Frequent function words, from general knowledge of each language.
-FUNCTION_WORDS = {
-    "en": "a about after all also an and are as at be because been before being between but by can could did do does during each every for from had has have he her here his how i if in into is it its just last more most my near no nor not of on once one only or other our out over own she since so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who whoever why will with without would you your",
-    "de": "aber alle als am an auch auf aus bei bis bitte da damit dann das dass dein dem den denn der des die diese dieser dieses doch durch ein eine einem einen einer eines er es für gegen hat hatte ich ihm ihn ihr im in ist ja jede jedem jeden jeder kann kaum kein keine mehr mein mit nach nicht nichts noch nur ob oder ohne seit sehr sein sich sie sind so solange trotz über um und uns unser unsere unter vom von vor während war was weil wenn wer werden wie wir wird wurde zu zum zur zwei zwischen",
-    "fr": "à alors après au aucun aussi autre aux avant avec ce cela ces cet cette chaque chez comme contre dans de depuis des deux donc du elle en encore entre est et eux il ils je jusqu la le les leur leurs lui mais me même moi moins mon ne ni nos notre nous on ont ou où par parce pas pendant peu plus pour près qu quand que quel qui quoi sa sans se ses si son sont sous sur ta tandis tant toi ton tout toute très tu un une vers votre vous car été",
-    "es": "a al algo ante antes aquí así aunque cada como con contra cual cuando de del desde donde dos durante e el ella en entre era es esa ese eso esta este esto fue ha había hasta hay la las le les lo los más me mi mientras mucho muy ni no nos nuestra nuestro o otra otro para pero poco por porque que quien se sea según ser si sin sobre son su sus también tan tanto te tiene toda todo tras tu un una unas uno unos vuelva y ya",
-    "pt": "a à ao aos as até cada com como contra da das de dela dele depois desde do dos e é ela ele em enquanto então entre era essa esse esta este eu foi há isso isto já lhe mais mas me menos mesmo meu muito na não nas nem no nos nossa nosso num numa o onde os ou outra outro para pela pelo por porque qual quando que quem se sem ser seu só sob sobre sua também tão tem toda todo tu um uma umas umas você",
-    "ru": "а без бы был была были было быть в вам вас весь во вот все всё всех вы где да даже два для до его ее её если есть еще ещё ж же за и из или им их к как каждый ко когда кто ли между меня мне мы на над нас наш не него нее ней нет ни но ну о об около он она они оно от очень перед по под после потом потому при про с сам свой себя со так также там те тем то того тоже только том ты у уже чем что чтобы эта эти это этот я",
-}
+from __future__ import annotations
 
-MASK = {lang: 1 << k for k, lang in enumerate(FUNCTION_WORDS)}
+import re
 
+from pyspark.ml.feature import StopWordsRemover
+from pyspark.sql import SparkSession
 
-def function_word_masks() -> dict[str, int]:
-    """Each function word with the set of its languages as bits."""
-    out: dict[str, int] = {}
-    for lang, words in FUNCTION_WORDS.items():
-        for w in words.split():
-            out[w] = out.get(w, 0) | MASK[lang]
+# The languages of the lists, by code.
+LISTS = {
+    "en": "english", "de": "german", "fr": "french", "es": "spanish", "pt": "portuguese", "ru": "russian", "it": "italian",
+    "nl": "dutch", "sv": "swedish", "da": "danish", "no": "norwegian", "fi": "finnish", "hu": "hungarian", "tr": "turkish",
+}
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def function_words(spark: SparkSession, languages: tuple[str, ...] = tuple(LISTS)) -> dict[str, tuple[str, ...]]:
+    """The words of each language's list, in its order; forms with an apostrophe as their parts."""
+    out = {}
+    for lang in languages:
+        words = StopWordsRemover.loadDefaultStopWords(LISTS[lang])
+        out[lang] = tuple(dict.fromkeys(w for x in words for w in _WORD.findall(x.lower())))
     return out

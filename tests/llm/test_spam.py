@@ -82,6 +82,45 @@ def test_keywords_on_short_lines(spark):
     assert judged(spark, spam + fine) == set(range(len(spam)))
 
 
+PROSE = {
+    "Polish": "Wczoraj wieczorem poszliśmy z bratem na długi spacer wzdłuż rzeki, bo pogoda była wyjątkowo ładna. Na moście spotkaliśmy starego nauczyciela, który opowiedział nam o swoich podróżach.",
+    "Finnish": "Eilen illalla kävelimme veljeni kanssa pitkään joen rantaa, koska sää oli poikkeuksellisen kaunis. Sillalla tapasimme vanhan opettajan, joka kertoi meille matkoistaan.",
+    "Dutch": "Gisteravond maakten we met mijn broer een lange wandeling langs de rivier, omdat het weer bijzonder mooi was. Op de brug kwamen we een oude leraar tegen, die ons vertelde over zijn reizen.",
+    "Italian": "Ieri sera abbiamo fatto con mio fratello una lunga passeggiata lungo il fiume, perché il tempo era davvero bello. Sul ponte abbiamo incontrato un vecchio maestro.",
+    "Czech": "Včera večer jsme s bratrem šli na dlouhou procházku podél řeky, protože počasí bylo mimořádně hezké. Na mostě jsme potkali starého učitele, který nám vyprávěl o svých cestách.",
+    "Ukrainian": "Учора ввечері ми з братом пішли на довгу прогулянку вздовж річки, бо погода була надзвичайно гарна. На мосту ми зустріли старого вчителя.",
+    "Greek": "Χθες το βράδυ πήγαμε με τον αδελφό μου μια μεγάλη βόλτα κατά μήκος του ποταμού, επειδή ο καιρός ήταν πολύ καλός.",
+    "Romanian": "Aseară am făcut cu fratele meu o plimbare lungă de-a lungul râului, pentru că vremea era deosebit de frumoasă.",
+}
+
+
+def test_prose_of_other_languages(spark):
+    from meshloom.sources.tables import read
+
+    corpus = read(spark, f"{ROOT}/sf0.001", "pages").select("id", "url", "content", "ok")
+    rows = [(-k - 1, "u", f"{t}\n{t[: len(t) // 2]}", True) for k, t in enumerate(PROSE.values())]
+    found = S.spam_pages(corpus.unionByName(spark.createDataFrame(rows, corpus.schema)), read(spark, f"{ROOT}/sf0.001", "links"))
+    assert [list(PROSE)[-r.id - 1] for r in found.where("id < 0").collect()] == []
+
+
+def test_limits_follow_the_language(spark):
+    from meshloom.sources.tables import read
+
+    c = S.SpamConfig(min_lines=30)
+    limits = S.calibrate(S.line_figures(read(spark, f"{ROOT}/sf0.01", "pages").where("ok")), c)
+    en, ru, fi = (S.LANGUAGES.index(x) for x in ("en", "ru", "fi"))
+    assert limits.function[en] > 1.5 * limits.function[ru] and limits.function[fi] == min(limits.function) and len(limits.top) == len(S.LANGUAGES) + 1
+    few = S.calibrate(S.line_figures(read(spark, f"{ROOT}/sf0.001", "pages").limit(0)), c)
+    assert few.top[0] == c.fallback[1] and few.function[0] == c.fallback[0]
+
+
+def test_links_with_and_without_words(spark):
+    address = "0123456789abcdef0123456789abcdef:/page/a.mu"
+    titled = "\n".join(f"The town by the river {address}" for _ in range(20))
+    told = "\n".join(f"The relay on the hill answers every request that is sent to it, and a volunteer keeps a copy of the index: {address}" for _ in range(20))
+    assert judged(spark, [titled, told]) == {0}
+
+
 def test_a_short_list_of_linked_titles(spark):
     titles = "\n".join(f"* A walk through Town{k}" for k in range(7))
     assert judged(spark, [titles, titles], [("n:/p0", f"m:/q{k}", "") for k in range(7)]) == {0}
