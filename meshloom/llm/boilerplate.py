@@ -1,10 +1,10 @@
 """Lines that a site repeats over its documents, found through content-defined chunks.
 
 A document's letters form one stream, whatever its line breaks. A rolling hash over a window of
-letters decides where chunks end, so equal text is cut equally wherever it stands and however it is
-wrapped, spaced or capitalised. Distinct documents are counted per source and chunk; a line can only
-be repeated if its chunk is, so the exact comparison of whole lines is left to the few lines of
-repeated chunks.
+letters decides where chunks end, so equal text is cut into equal chunks, but for those at its ends, wherever it stands and however it is
+wrapped, spaced or capitalised. Distinct documents are counted per source and chunk. The repeated chunks are mapped back to the
+lines they lie in: a line can only be repeated if the chunks inside it are, so whole lines are compared only there. A line
+without a whole chunk inside is compared as if it were one.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..session import broadcast_if_small, materialise
 
 #: Letters in the rolling window, and the average number of letters from one cut to the next.
-WINDOW, AVERAGE = 6, 8
+WINDOW, AVERAGE = 6, 16
 #: Odd multiplier of the polynomial hash and its inverse modulo 2**64, and the seeds of the two hashes.
 _BASE = 0x9E3779B97F4A7C15
 _BASES = (_BASE, 0xC2B2AE3D27D4EB4F)
@@ -68,10 +68,11 @@ def shared_letters() -> Letters:
 
 
 def line_chunks(letters: Letters, texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Of every line with a letter: index of its text, line number from 1, chunk, and the two hashes of its letters.
+    """Of every line with a letter: index of its text, line number from 1, chunk, and the two hashes of its letters; then of every chunk
+    of the texts' streams of letters: index of its text, and hash.
 
-    The chunk of a line is, of the chunks that lie wholly inside it, the one of least hash, so it
-    depends on the line's letters alone. A line too short to hold one is its own chunk.
+    The chunk of a line is, of the chunks that lie inside it together with the window that begins them, the one of least hash. All of these are
+    the same wherever the line stands. A line that holds none is a chunk by itself, which is added to the text's chunks.
     """
     joined = "\n\n".join(t.casefold() for t in texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -85,7 +86,7 @@ def line_chunks(letters: Letters, texts: list[str]) -> tuple[np.ndarray, ...]:
     n = len(stream)
     if not n:
         none = np.empty(0, dtype=np.int64)
-        return none, none, none, none, none
+        return none, none, none, none, none, none, none
     start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     end = np.concatenate([start[1:], [n]])
     line_row = row[start]
@@ -96,19 +97,34 @@ def line_chunks(letters: Letters, texts: list[str]) -> tuple[np.ndarray, ...]:
     one, two = letters.prefix(stream, 0), letters.prefix(stream, 1)
     key_a, key_b = letters.stretch(one, start, end, 0), letters.stretch(two, start, end, 1)
     chunk = key_a.copy()
+    alone = np.ones(len(start), dtype=bool)
+    text_start = start[np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))]  # the first letter of each text that has one
+    text_of = text[np.searchsorted(start, text_start)]
+    cut = np.empty(0, dtype=np.int64)
     if n >= WINDOW:
         head = np.arange(n - WINDOW + 1)
         cut = np.flatnonzero(letters.stretch(one, head, head + WINDOW, 0) % np.uint64(AVERAGE) == 0) + WINDOW  # a chunk ends before this letter
-        line = np.searchsorted(start, cut - 1, side="right") - 1
-        inside = cut - WINDOW >= start[line]
-        cut, line = cut[inside], line[inside]
-        pair = np.flatnonzero(line[1:] == line[:-1])
-        if len(pair):
-            hashes, owner = letters.stretch(one, cut[pair], cut[pair + 1], 0), line[pair]
-            group = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            chunk[owner[group]] = np.minimum.reduceat(hashes, group)
+        cut = cut[cut - WINDOW >= text_start[np.searchsorted(text_start, cut - 1, side="right") - 1]]
+    # texts begin and end with a cut too; chunks lie between neighbouring ones
+    low = np.union1d(cut, text_start)
+    low = low[low < n]
+    high = np.concatenate([low[1:], [n]])
+    hashes = letters.stretch(one, low, high, 0)
+    owner = text_of[np.searchsorted(text_start, low, side="right") - 1]
+    # the chunks that a line holds with the window before them
+    line = np.searchsorted(start, low - WINDOW, side="right") - 1
+    held = np.flatnonzero((line >= 0) & (high <= end[np.maximum(line, 0)]) & np.isin(low, cut) & (np.isin(high, cut)))
+    if len(held):
+        mine = line[held]
+        group = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        chunk[mine[group]] = np.minimum.reduceat(hashes[held], group)
+        alone[mine[group]] = False
     signed = lambda x: x.view(np.int64)
-    return text, number, signed(chunk), signed(key_a), signed(key_b)
+    of, own = np.concatenate([owner, text[alone]]), np.concatenate([signed(hashes), signed(chunk)[alone]])
+    once = np.lexsort((own, of))
+    of, own = of[once], own[once]
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (own[1:] != own[:-1])])
+    return text, number, signed(chunk), signed(key_a), signed(key_b), of[new], own[new]
 
 
 def source_of(node_hash: Column, url: Column) -> Column:
@@ -117,7 +133,7 @@ def source_of(node_hash: Column, url: Column) -> Column:
 
 
 def chunked_lines(documents: DataFrame) -> DataFrame:
-    """``id, source, lines`` of documents ``id, source, content``: of each line its number, chunk and letter hashes."""
+    """``id, source, lines, chunks`` of documents ``id, source, content``: of each line its number, chunk and letter hashes, and the document's different chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = shared_letters()
@@ -133,7 +149,7 @@ def chunked_lines(documents: DataFrame) -> DataFrame:
                     low, size = k + 1, 0
 
     line = "line_no bigint, chunk bigint, a bigint, b bigint"
-    return documents.select("id", "source", "content").mapInArrow(run, f"id bigint, source string, lines array<struct<{line.replace(' ', ':').replace(',:', ',')}>>")
+    return documents.select("id", "source", "content").mapInArrow(run, f"id bigint, source string, lines array<struct<{line.replace(' ', ':').replace(',:', ',')}>>, chunks array<bigint>")
 
 
 def _grown(letters: Letters, size: int) -> Letters:
@@ -148,10 +164,10 @@ def _grown(letters: Letters, size: int) -> Letters:
 
 def _emit(letters: Letters, batch: pa.RecordBatch, contents: list[str]) -> pa.RecordBatch:
     # casefold may lengthen a text up to threefold; the tables hold for that
-    text, number, chunk, a, b = line_chunks(letters, contents)
-    offsets = np.searchsorted(text, np.arange(len(contents) + 1)).astype(np.int32)
+    text, number, chunk, a, b, of, chunks = line_chunks(letters, contents)
+    edges = lambda owner: pa.array(np.searchsorted(owner, np.arange(len(contents) + 1)).astype(np.int32))
     rows = pa.StructArray.from_arrays([pa.array(number, pa.int64()), pa.array(chunk, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["line_no", "chunk", "a", "b"])
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), rows)], names=["id", "source", "lines"])
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(edges(text), rows), pa.ListArray.from_arrays(edges(of), pa.array(chunks, pa.int64()))], names=["id", "source", "lines", "chunks"])
 
 
 def repeated_lines(pages: DataFrame, min_rows: int = 5, min_share: float = 0.1) -> DataFrame:
@@ -168,11 +184,13 @@ def repeated_lines(pages: DataFrame, min_rows: int = 5, min_share: float = 0.1)
     # rows are numbered before they're written, as rows of equal ids count apart, and not again for each line
     lines = materialise(chunked_lines(usable.withColumn("source", F.coalesce("source", F.lit("")))).withColumn("row", F.monotonically_increasing_id()))
 
-    # one row a document and chunk goes out, so the count is one of distinct documents and is combined before the shuffle
-    chunks = lines.select("source", F.explode(F.array_distinct(F.transform("lines", lambda x: x["chunk"]))).alias("chunk"))
-    common = materialise(chunks.groupBy("source", "chunk").count().where(F.col("count") >= min_rows).select("source", "chunk"))
-    rows = lines.select("id", "source", "row", F.inline("lines"))
-    maybe = rows.join(broadcast_if_small(common, BROADCAST_ROWS), ["source", "chunk"], "left_semi")
+    # a document's chunks are different, so the count is one of distinct documents, and it is combined before the shuffle;
+    # source and chunk go as one number, as two that share it only leave more lines to be compared
+    of = F.xxhash64("source", "chunk").alias("key")
+    chunks = lines.select("source", F.explode("chunks").alias("chunk")).select(of)
+    common = materialise(chunks.groupBy("key").count().where(F.col("count") >= min_rows).select("key"))
+    rows = lines.select("id", "source", "row", F.inline("lines")).withColumn("key", of)
+    maybe = rows.join(broadcast_if_small(common, BROADCAST_ROWS), "key", "left_semi")
 
     total = lines.groupBy("source").agg(F.count(F.lit(1)).alias("total"))
     distinct = maybe.select("source", "a", "b", "row").distinct()

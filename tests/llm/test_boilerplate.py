@@ -96,7 +96,7 @@ def test_chunks_depend_on_a_lines_letters_alone():
     letters = B.Letters()
     line = "Please do not fetch more pages than you need from this slow relay"
     texts = [line, "other words before\n" + line.upper() + "\nafter", "x\n  " + unicodedata.normalize("NFC", line).replace(" ", "\u200b ")]
-    text, number, chunk, a, b = B.line_chunks(letters, texts)
+    text, number, chunk, a, b, of, chunks = B.line_chunks(letters, texts)
     at = [k for k in range(len(text)) if (text[k], number[k]) in {(0, 1), (1, 2), (2, 2)}]
     assert len(at) == 3 and len({(chunk[k], a[k], b[k]) for k in at}) == 1
 
@@ -106,3 +106,26 @@ def test_the_shuffle_join_gives_the_same(spark, monkeypatch):
     want = found(spark, rows)
     monkeypatch.setattr(B, "BROADCAST_ROWS", -1)
     assert found(spark, rows) == want == brute(rows)
+
+
+def test_chunks_of_a_text_wrapped_in_other_ways():
+    notice = "This notice stands on every page of the society and asks all readers to sign the guestbook before the end of the season, whatever the weather on the ridge may be"
+    words = notice.split()
+    shapes = [notice, "\n".join(words), notice.upper().replace(" ", "  "), "\n".join([" ".join(words[:9]), " ".join(words[9:])]), "Another head\n" + notice + "\nAnd a tail"]
+    out = [B.line_chunks(B.shared_letters(), [t]) for t in shapes]
+    streams = [set(x[6].tolist()) for x in out]
+    inner = streams[0] & streams[4]  # without the chunks at its ends
+    assert len(inner) >= 3 and all(inner <= s for s in streams)
+    assert out[0][2][0] in inner and out[2][2][0] == out[0][2][0] == out[4][2][1]
+
+
+def test_every_line_has_its_chunk_in_its_document():
+    rng = random.Random(5)
+    texts = ["\n".join("".join(rng.choice("abcdefgh é\u200bÄß1 ") for _ in range(rng.randrange(0, 90))) for _ in range(rng.randrange(0, 12))) for _ in range(40)]
+    text, number, chunk, a, b, of, chunks = B.line_chunks(B.shared_letters(), texts)
+    held = set(zip(of.tolist(), chunks.tolist()))
+    assert len(held) == len(of) and all((t, c) in held for t, c in zip(text.tolist(), chunk.tolist()))
+    by_key = defaultdict(set)
+    for c, x, y in zip(chunk.tolist(), a.tolist(), b.tolist()):
+        by_key[x, y].add(c)
+    assert all(len(v) == 1 for v in by_key.values())
