@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DEFAULT, EngineConfig
+from .functions.analyzer import simple
 from .functions.text import query_hash
 from .operators import federation, results
+from .operators.index import Index
 from .operators.ranking import search
 from .operators.retrieval import Request
 from .operators.suggest import suggest
@@ -77,6 +79,7 @@ class Service:
     federate: Callable[[str, int], DataFrame | None] = lambda q, n: None
     log: Callable[[str, DataFrame], None] = lambda table, rows: None
     clock: Callable[[], float] = time.monotonic
+    index: Index | None = None  # of the pages
     clicked: list[tuple] = field(default_factory=list)
 
     def __post_init__(self) -> None:
@@ -125,7 +128,7 @@ class Service:
         size, offset = min(max(_whole(request.get("limit"), c.page_size), 1), c.page_size_max), max(_whole(request.get("offset"), 0), 0)
         kind = request.get("type") or None
         clicks = self._clicks()
-        found = search(t["pages"], t["nodes"], t["links"], clicks, [Request(1, q, kind, size, offset, self.embed(q))], self.as_of, c)
+        found = search(t["pages"], t["nodes"], t["links"], clicks, [Request(1, q, kind, size, offset, self.embed(q))], self.as_of, c, self.index.lexeme if self.index else simple, index=self.index)
         if kind in (None, "wiki") and (hits := self.federate(q, c.federated_cap)) is not None:
             found = federation.merged(found, federation.federated(hits), t["links"], clicks)
         placed = results.node_crowding(results.folded(found), c.node_cap, size)

@@ -19,8 +19,6 @@ from .text import tokens
 
 #: Weights of the four classes of fields: title, headings with anchors, description, content.
 WEIGHTS = (1.0, 0.4, 0.2, 0.1)
-#: Positions and occurrences of a word beyond these aren't kept.
-MAX_POSITION, MAX_PER_WORD = 16_383, 256
 
 # English stop words.
 STOP_WORDS = frozenset(

@@ -11,11 +11,16 @@ from ..config import DEFAULT, EngineConfig
 from ..functions import text as X
 from ..functions.analyzer import simple
 from ..functions.querylang import parse
+from ..session import broadcast_if_small, materialise
 from . import retrieval as R
 from .graph import inbound_links, popularity
 from .snippets import headline, pick
 
 
+#: Candidates of a batch of requests that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
 def multipliers(declared: Column, announces: Column, fetch_ms: Column, of_type: Column, effective: Column, query: Column, as_of: datetime) -> Column:
     """Declared metadata, trust in the node, responsiveness, freshness and the query's intent, multiplied."""
     schema = F.lit(1.0) + F.lit(0.4) * F.coalesce(declared, F.lit(False)).cast("int")
@@ -43,11 +48,11 @@ def scored(candidates: DataFrame, as_of: datetime, config: EngineConfig = DEFAUL
     return candidates.withColumn("score", F.round((base + bonus) * penalty, 5)).withColumn("date", F.date_format(date, "yyyy-MM-dd"))
 
 
-def candidates(pages: DataFrame, requests: list[R.Request], config: EngineConfig = DEFAULT, lexeme=simple, limit: int | None = None) -> DataFrame:
+def candidates(pages: DataFrame, requests: list[R.Request], config: EngineConfig = DEFAULT, lexeme=simple, limit: int | None = None, index=None) -> DataFrame:
     """``qid, url, rel, fused, vectors``: what words match, with what vectors alone pull in, cut to a pool by ``rel``."""
     spark = pages.sparkSession
     pool = max(limit or config.search_cap, config.vector_topk) + config.vector_pull + 20
-    words = R.top(R.lexical(pages, requests, lexeme), [F.desc("rel"), F.col("url")], pool)
+    words = R.top(R.lexical(pages, requests, lexeme, index), [F.desc("rel"), F.col("url")], pool)
     near = R.vector_candidates(pages, requests, config)
     live = near.select("qid").distinct().withColumn("vectors", F.lit(True))
     types = spark.createDataFrame([(r.qid, r.ptype) for r in requests], "qid bigint, ptype string")
@@ -62,10 +67,10 @@ def candidates(pages: DataFrame, requests: list[R.Request], config: EngineConfig
     return out.select("qid", "url", "rel", F.coalesce("fused", F.lit(0.0)).alias("fused"), F.coalesce("vectors", F.lit(False)).alias("vectors"))
 
 
-def search(pages: DataFrame, nodes: DataFrame, links: DataFrame, clicks: DataFrame, requests: list[R.Request], as_of: datetime, config: EngineConfig = DEFAULT, lexeme=simple, limit: int | None = None) -> DataFrame:
+def search(pages: DataFrame, nodes: DataFrame, links: DataFrame, clicks: DataFrame, requests: list[R.Request], as_of: datetime, config: EngineConfig = DEFAULT, lexeme=simple, limit: int | None = None, index=None) -> DataFrame:
     """Ranked results of a batch of requests, ``limit`` (60 by default) of each at most.
 
-    ``pages`` holds one row a url, ``clicks`` too; blank requests have no result. Previews are made only for the
+    ``pages`` holds one row a url, ``clicks`` too; ``index`` is an index of the same pages, by ``lexeme``. Blank requests have no result. Previews are made only for the
     candidates left after the pool is cut.
     """
     spark = pages.sparkSession
@@ -73,9 +78,10 @@ def search(pages: DataFrame, nodes: DataFrame, links: DataFrame, clicks: DataFra
     live = [r for r in requests if r.q and r.q.strip()]
     queries = {r.qid: parse(r.q, lexeme) for r in live}
     asked = spark.createDataFrame([(r.qid, r.q) for r in live], "qid bigint, q string")
-    found = candidates(pages, live, config, lexeme, limit).join(F.broadcast(asked), "qid")
-    # candidates are at most a pool a request, so the large tables are cut down to them before anything is aggregated
-    urls = F.broadcast(found.select("url").distinct())
+    # candidates are at most a pool a request: they're written, so what follows reads them and not the tables again, and the
+    # large tables are cut down to them before anything is aggregated
+    found = materialise(candidates(pages, live, config, lexeme, limit, index)).join(F.broadcast(asked), "qid")
+    urls = broadcast_if_small(found.select("url").distinct(), BROADCAST_ROWS)
     pool = pages.join(urls, "url", "left_semi")
     inbound = inbound_links(links.join(urls.withColumnRenamed("url", "to_url"), "to_url", "left_semi")).withColumnRenamed("to_url", "url")
     registry = nodes.select(F.col("dest_hash").alias("node_hash"), F.col("name").alias("node_name"), "announce_count")

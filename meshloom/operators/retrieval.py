@@ -1,7 +1,7 @@
 """Lexical and vector retrieval for a batch of queries over all pages.
 
-Words of the queries are few, so each page's words are filtered against them before anything is
-exploded or shuffled: an index built on the fly holds only what some query asks for.
+Words are read from an index (``index``) where there is one. Without, each page's words are filtered against the queries' few words before
+anything is exploded or shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
+from ..functions import text as X
 from ..functions.analyzer import lexemes, simple, weighted_words
 from ..functions.querylang import Query, parse
 
@@ -104,10 +105,10 @@ def cover_rank(query: Query, lexemes: list[str], places: list[int], weights: lis
     return True, rel
 
 
-def lexical(pages: DataFrame, requests: list[Request], lexeme: Callable[[str], str | None] = simple) -> DataFrame:
+def lexical(pages: DataFrame, requests: list[Request], lexeme: Callable[[str], str | None] = simple, index=None) -> DataFrame:
     """``qid, url, rel`` of every page that a request's query matches, of the request's type if it names one.
 
-    Blank requests match nothing. The match and the density of queries beyond plain words are worked out by
+    With an ``index`` of these pages, written with the same analyzer, only its postings of the queries' words are read. Blank requests match nothing. The match and the density of queries beyond plain words are worked out by
     workers over the occurrences of query words in one page, which no page has many of.
     """
     spark = pages.sparkSession
@@ -115,14 +116,22 @@ def lexical(pages: DataFrame, requests: list[Request], lexeme: Callable[[str], s
     words = tuple(dict.fromkeys(w for q in queries.values() for w in q.words))
     if not words:
         return spark.createDataFrame([], "qid bigint, url string, rel double")
-    found = page_words(pages, lexeme)
     wanted = F.array(*[F.lit(w) for w in words])
-    hits = found.select("url", "type", F.filter("words", lambda x: F.array_contains(wanted, x["lexeme"])).alias("words"))
-    # a filter on the number of words found would be pushed below and find them a second time, so pages without any go on
     types = {r.qid: r.ptype for r in requests}
     live = {qid: q for qid, q in queries.items() if q.alternatives}
-    if all(q.simple != "other" for q in live.values()):
-        return _plain(hits, live, types)
+    plain = all(q.simple != "other" for q in live.values())
+    if index is not None:
+        found = index.postings(spark, words).select("url", "type", "lexeme", F.inline("at"))
+        if plain:
+            return _plain(found, live, types)
+        hits = found.groupBy("url").agg(F.first("type").alias("type"), F.array_sort(F.collect_list(F.struct("pos", "lexeme", "w"))).alias("words"))
+        if any(all(f.excluded for f in a) for q in live.values() for a in q.alternatives):  # what holds none of the words can match too
+            hits = index.pages(spark).join(hits.drop("type"), "url", "left").withColumn("words", F.coalesce("words", F.array().cast("array<struct<pos:int,lexeme:string,w:double>>")))
+    else:
+        hits = page_words(pages, lexeme).select("url", "type", F.filter("words", lambda x: F.array_contains(wanted, x["lexeme"])).alias("words"))
+        # a filter on the number of words found would be pushed below and find them a second time, so pages without any go on
+        if plain:
+            return _plain(hits.select("url", "type", F.inline_outer("words")), live, types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,20 +148,20 @@ def lexical(pages: DataFrame, requests: list[Request], lexeme: Callable[[str], s
 
     # words go to the workers as their numbers among the queries' words
     code = F.transform("words", lambda x: (F.array_position(wanted, x["lexeme"]) - 1).cast("int"))
-    plain = hits.select("url", "type", code.alias("codes"), F.transform("words", lambda x: x["pos"]).alias("places"), F.transform("words", lambda x: x["w"]).alias("weights"))
-    return plain.mapInArrow(run, "qid bigint, url string, rel double")
+    coded = hits.select("url", "type", code.alias("codes"), F.transform("words", lambda x: x["pos"]).alias("places"), F.transform("words", lambda x: x["w"]).alias("weights"))
+    return coded.mapInArrow(run, "qid bigint, url string, rel double")
 
 
-def _plain(hits: DataFrame, queries: dict[int, Query], types: dict[int, str | None]) -> DataFrame:
+def _plain(posts: DataFrame, queries: dict[int, Query], types: dict[int, str | None]) -> DataFrame:
     """The closed forms for queries of plain words: sums of weights, and neighbours of different words. No worker is needed."""
-    spark = hits.sparkSession
+    spark = posts.sparkSession
     parts = []
     for kind in ("any", "two"):
         terms = [(qid, w, types[qid]) for qid, q in queries.items() if q.simple == kind for w in q.wanted]
         if not terms:
             continue
         asked = F.broadcast(spark.createDataFrame(terms, "qid bigint, lexeme string, ptype string"))  # the words of the batch
-        found = hits.select("url", "type", F.inline_outer("words")).join(asked, "lexeme").where(F.col("ptype").isNull() | (F.col("ptype") == F.col("type")))
+        found = posts.join(asked, "lexeme").where(F.col("ptype").isNull() | (F.col("ptype") == F.col("type")))
         parts.append(rank_any(found, "qid") if kind == "any" else rank_two(found, "qid"))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.select("qid", "url", F.round("rel", 6).alias("rel"))
@@ -204,6 +213,41 @@ def vector_candidates(pages: DataFrame, requests: list[Request], config: EngineC
     return uniform_guard(nearest, config)
 
 
+def vector_neighbours(pages: DataFrame, asked: DataFrame, config: EngineConfig = DEFAULT, block: int = 1024, broadcast_blocks: int = 64) -> DataFrame:
+    """``qid, url, distance, rank``: the nearest pages of every usable vector of ``asked`` (``qid, vector``), exactly, for any number of them.
+
+    Pages and vectors are packed into blocks, each block of pages meets each of vectors, and only the nearest of a block go on. Few blocks of vectors are broadcast; more are joined by
+    their number. Vectors whose distances are all alike have no neighbours, as in ``vector_candidates``.
+    """
+    spark, dim, k = pages.sparkSession, config.embedding_dim, config.vector_topk
+    usable = X.usable_vector
+    numbered = asked.where(usable(F.col("vector"), dim)).select("qid", "vector")
+    blocks = max(1, -(-numbered.count() // block))
+    queries = numbered.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("qid").alias("qids"), F.flatten(F.collect_list("vector")).alias("vectors"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                one = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+                yield pa.RecordBatch.from_arrays([one(b.column(0)), one(b.column(1).flatten())], names=["urls", "embeddings"])
+
+    good = pages.where(F.col("ok") & usable(F.col("embedding"), dim)).select("url", "embedding").mapInArrow(pack, "urls array<string>, embeddings array<float>")
+    met = good.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(F.broadcast(queries) if blocks <= broadcast_blocks else queries, "block")
+    unit = lambda values: (m := np.asarray(values, dtype=np.float64).reshape(-1, dim)) / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for j in range(b.num_rows):
+                urls, x, qids, q = (b.column(c)[j].values for c in (0, 1, 2, 3))
+                distance = 1 - unit(q.to_numpy(zero_copy_only=False)) @ unit(x.to_numpy(zero_copy_only=False)).T
+                n = min(k, distance.shape[1])
+                near = np.argpartition(distance, n - 1, axis=1)[:, :n]
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(np.repeat(np.arange(len(distance)), n))), urls.take(pa.array(near.ravel())), pa.array(np.take_along_axis(distance, near, 1).ravel())], names=["qid", "url", "distance"])
+
+    found = met.select("urls", "embeddings", "qids", "vectors").mapInArrow(compare, "qid bigint, url string, distance double")
+    return uniform_guard(top(found, [F.col("distance"), F.col("url")], k), config)
+
+
 def uniform_guard(candidates: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Without the queries whose distances are all alike."""
     spread = candidates.groupBy("qid").agg((F.max("distance") - F.min("distance")).alias("spread"), F.count(F.lit(1)).alias("n"))

@@ -10,11 +10,11 @@ from ..functions.text import tokens
 from ..functions.trigram import trigrams
 
 
-def similar(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``a, b, sim`` of the words ``a`` and ``b`` that share a trigram, through a join on trigrams; words that share none have no row."""
-    grams = lambda df, c, n: df.select(c, trigrams(F.col(c)).alias("g")).select(c, F.size("g").alias(n), F.explode("g").alias("gram"))
-    pairs = grams(left, "a", "n").join(grams(right, "b", "m"), "gram").groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("both"))
-    return pairs.select("a", "b", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("sim"))
+def similar(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+    """``a, b, sim`` of the words ``a`` and ``b`` that share a trigram, through a join on trigrams; words that share none have no row. ``more`` columns of ``b`` are kept."""
+    grams = lambda df, c, n, *own: df.select(c, *own, trigrams(F.col(c)).alias("g")).select(c, *own, F.size("g").alias(n), F.explode("g").alias("gram"))
+    pairs = grams(left, "a", "n").join(grams(right, "b", "m", *more), "gram").groupBy("a", "b", "n", "m", *more).agg(F.count(F.lit(1)).alias("both"))
+    return pairs.select("a", "b", *more, (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("sim"))
 
 
 def neighbours(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -22,9 +22,8 @@ def neighbours(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     The tokens' side is as small as the queries.
     """
-    rated = similar(words.select(F.col("token").alias("a")), lexicon.select(F.col("word").alias("b"))).where(F.col("sim") >= 0.3)
-    known = rated.join(lexicon.select(F.col("word").alias("b"), "df"), "b")
-    best = known.groupBy("a").agg(F.min_by(F.struct(F.col("b").alias("word"), "sim", "df"), F.struct(-F.col("sim"), -F.col("df"), F.col("b"))).alias("x"))
+    rated = similar(words.select(F.col("token").alias("a")), lexicon.select(F.col("word").alias("b"), "df"), "df").where(F.col("sim") >= 0.3)
+    best = rated.groupBy("a").agg(F.min_by(F.struct(F.col("b").alias("word"), "sim", "df"), F.struct(-F.col("sim"), -F.col("df"), F.col("b"))).alias("x"))
     return best.select(F.col("a").alias("token"), "x.*")
 
 

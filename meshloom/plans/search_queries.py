@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from ..config import AS_OF, DEFAULT
 from ..functions import markup as M
+from ..functions.analyzer import english, simple
 from ..functions.text import tokens
 from ..operators import federation, ranking, results
 from ..operators import retrieval as R
 from ..operators.graph import inbound_links
 from ..operators.suggest import neighbours
 from ..operators.suggest import suggest as suggest_words
-from ..session import spread
+from ..operators.upserts import upsert_lexicon as fold_lexicon
 from ..sources import derived as D
 from ..sources.tables import read
+from . import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,8 +111,16 @@ posts AS (
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    pages = read(spark, folder, "pages")
-    return spread(D.latest_pages(pages), pages)
+    return stored.pages(spark, folder)
+
+
+def _posts(spark: SparkSession, folder: str, *words: str) -> DataFrame:
+    """``url, lexeme, pos, w`` of the given words, from the index."""
+    return stored.index(spark, folder).postings(spark, words).select("url", "lexeme", F.inline("at"))
+
+
+def _lexical(spark: SparkSession, folder: str, *requests: R.Request, lexeme=simple) -> DataFrame:
+    return R.lexical(_pages(spark, folder), list(requests), lexeme, stored.index(spark, folder, lexeme))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -119,12 +129,12 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {_POSTS} SELECT url, round(sum(w)::DOUBLE, 5) AS rel FROM posts WHERE lexeme = 'relay' GROUP BY url")
 def lex_single_term(spark, folder):
-    return _rounded(R.rank_any(R.postings(_pages(spark, folder), ("relay",))))
+    return _rounded(R.rank_any(_posts(spark, folder, "relay")))
 
 
 @query(f"WITH {_POSTS} SELECT url, round(sum(w)::DOUBLE, 5) AS rel FROM posts WHERE lexeme IN ('antenna', 'bateria', 'relais') GROUP BY url")
 def lex_or(spark, folder):
-    return _rounded(R.rank_any(R.postings(_pages(spark, folder), ("antenna", "bateria", "relais"))))
+    return _rounded(R.rank_any(_posts(spark, folder, "antenna", "bateria", "relais")))
 
 
 _TWO = f"""{_POSTS}, n AS (SELECT url, type, lexeme, pos, w, lag(lexeme) OVER v AS l0, lag(pos) OVER v AS p0, lag(w) OVER v AS w0 FROM posts WHERE lexeme IN ('routing', 'table') WINDOW v AS (PARTITION BY url ORDER BY pos)),
@@ -133,26 +143,25 @@ two AS (SELECT url, any_value(type) AS type, sum(2.0::DOUBLE / (1 / w::DOUBLE +
 
 @query(f"WITH {_TWO} SELECT url, round(rel, 5) AS rel FROM two")
 def lex_two_term_and(spark, folder):
-    return _rounded(R.rank_two(R.postings(_pages(spark, folder), ("routing", "table"))))
+    return _rounded(R.rank_two(_posts(spark, folder, "routing", "table")))
 
 
 @query(f"WITH {_TWO} SELECT 1::BIGINT AS qid, url, round(rel, 6) AS rel FROM two")
 def lex_general_two(spark, folder):
     """The general evaluation of a query gives what the closed form does."""
-    return R.lexical(_pages(spark, folder), [R.Request(1, "routing table")])
+    return _lexical(spark, folder, R.Request(1, "routing table"))
 
 
 @query(f"WITH {_POSTS} SELECT 1::BIGINT AS qid, url, round(sum(w)::DOUBLE, 5) AS rel FROM posts WHERE lexeme = 'relay' AND url NOT IN (SELECT url FROM posts WHERE lexeme = 'crawler') GROUP BY url")
 def lex_not(spark, folder):
-    return _rounded(R.lexical(_pages(spark, folder), [R.Request(1, "relay -crawler")]))
+    return _rounded(_lexical(spark, folder, R.Request(1, "relay -crawler")))
 
 
 @query(f"WITH {_POSTS} SELECT 1::BIGINT AS qid, a.url, count(*) AS n FROM posts a JOIN posts b ON a.url = b.url AND b.pos = a.pos + 1 WHERE a.lexeme = 'bulletin' AND b.lexeme = 'board' GROUP BY a.url")
 def lex_phrase(spark, folder):
     """Pages with the phrase, and how often they have it."""
-    pages = _pages(spark, folder)
-    matched = R.lexical(pages, [R.Request(1, '"bulletin board"')]).select("qid", "url")
-    posts = R.postings(pages, ("bulletin", "board"))
+    matched = _lexical(spark, folder, R.Request(1, '"bulletin board"')).select("qid", "url")
+    posts = _posts(spark, folder, "bulletin", "board")
     next_to = Window.partitionBy("url").orderBy("pos")
     pairs = posts.withColumns({"l1": F.lead("lexeme").over(next_to), "p1": F.lead("pos").over(next_to)}).where((F.col("lexeme") == "bulletin") & (F.col("l1") == "board") & (F.col("p1") == F.col("pos") + 1))
     return matched.join(pairs.groupBy("url").agg(F.count(F.lit(1)).alias("n")), "url").select("qid", "url", "n")
@@ -160,7 +169,33 @@ def lex_phrase(spark, folder):
 
 @query(f"WITH {_POSTS} SELECT 1::BIGINT AS qid, url, round(sum(w)::DOUBLE, 5) AS rel FROM posts WHERE lexeme = 'relay' AND type = 'wiki' GROUP BY url")
 def type_filter(spark, folder):
-    return _rounded(R.lexical(_pages(spark, folder), [R.Request(1, "relay", "wiki")]))
+    return _rounded(_lexical(spark, folder, R.Request(1, "relay", "wiki")))
+
+
+@query(f"WITH {_POSTS} SELECT 1::BIGINT AS qid, url, round(sum(w)::DOUBLE, 5) AS rel FROM posts WHERE lexeme = 'relay' GROUP BY url")
+def lex_scanned(spark, folder):
+    """The same without an index, from the pages themselves."""
+    return _rounded(R.lexical(_pages(spark, folder), [R.Request(1, "relay")]))
+
+
+@query(f"WITH {_POSTS} SELECT 1::BIGINT AS qid, url, 0.0::DOUBLE AS rel FROM p WHERE ok AND url NOT IN (SELECT url FROM posts WHERE lexeme = 'relay')")
+def lex_only_not(spark, folder):
+    return _lexical(spark, folder, R.Request(1, "-relay"))
+
+
+_STEMS = "CASE WHEN lexeme IN ('route', 'routes', 'routed', 'routing', 'routings') THEN 'rout' WHEN lexeme IN ('table', 'tables', 'tabled', 'tabling') THEN 'tabl' WHEN lexeme IN ('relay', 'relays', 'relayed', 'relaying') THEN 'relay' END"
+
+
+@query(f"WITH {_POSTS} SELECT 1::BIGINT AS qid, url, round(sum(w)::DOUBLE, 5) AS rel FROM posts WHERE {_STEMS} = 'relay' GROUP BY url")
+def lex_stemmed(spark, folder):
+    """Stems and stop words of English: all forms of a word match."""
+    return _rounded(_lexical(spark, folder, R.Request(1, "the relays"), lexeme=english))
+
+
+@query(f"""WITH {_POSTS}, n AS (SELECT url, {_STEMS} AS s, pos, w, lag({_STEMS}) OVER v AS l0, lag(pos) OVER v AS p0, lag(w) OVER v AS w0 FROM posts WHERE {_STEMS} IN ('rout', 'tabl') WINDOW v AS (PARTITION BY url ORDER BY pos))
+SELECT 1::BIGINT AS qid, url, round(sum(2.0::DOUBLE / (1 / w::DOUBLE + 1 / w0::DOUBLE) / (pos - p0)), 6) AS rel FROM n WHERE l0 <> s GROUP BY url""")
+def lex_stemmed_two(spark, folder):
+    return _lexical(spark, folder, R.Request(1, "tables with a route"), lexeme=english)
 
 
 _LEXICON = f"lexicon AS (SELECT lexeme AS word, count(DISTINCT url)::INT AS df FROM posts WHERE regexp_matches(lexeme, '^[a-z][a-z]{{2,29}}$') GROUP BY lexeme HAVING count(DISTINCT url) >= 2)"
@@ -168,7 +203,16 @@ _LEXICON = f"lexicon AS (SELECT lexeme AS word, count(DISTINCT url)::INT AS df F
 
 @query(f"WITH {_POSTS}, {_LEXICON} SELECT word, df FROM lexicon")
 def lexicon(spark, folder):
-    return R.lexicon(_pages(spark, folder))
+    return stored.index(spark, folder).lexicon(spark)
+
+
+@query(f"WITH {_POSTS}, {_LEXICON}, old AS (SELECT 'x' || lower(hint) AS word, 7 AS df FROM name_hints UNION SELECT word, df + 1 FROM lexicon WHERE word < 'm') SELECT word, coalesce(l.df, o.df)::INT AS df FROM lexicon l FULL JOIN old o USING (word)")
+def upsert_lexicon(spark, folder):
+    """Counted anew from the pages; the old one has other counts and words that no page holds."""
+    fresh = R.lexicon(_pages(spark, folder))
+    gone = read(spark, folder, "name_hints").select(F.concat(F.lit("x"), F.lower("hint")).alias("word"), F.lit(7).alias("df")).where("word IS NOT NULL").distinct()
+    old = gone.unionByName(fresh.where("word < 'm'").select("word", (F.col("df") + 1).alias("df")))
+    return fold_lexicon(old, fresh).select("word", F.col("df").cast("int").alias("df"))
 
 
 _ASKED = ["harbor staton", "antena on the roof", "battrey bank", "relay", "solr node", "routng tabel", "crawlers", "der neue ruter"]
@@ -186,7 +230,7 @@ def _asked(spark: SparkSession) -> DataFrame:
 
 @query(f"WITH {_POSTS}, {_LEXICON}, {_ASKED_SQL}, {_NEAR} SELECT token, word, round(sim, 5) AS sim, df FROM near")
 def nearest_words(spark, folder):
-    known = R.lexicon(_pages(spark, folder))
+    known = stored.index(spark, folder).lexicon(spark)
     words = _asked(spark).select(F.explode(tokens(F.col("q"))).alias("token")).where(F.length("token") >= 4).distinct().join(known.select(F.col("word").alias("token")), "token", "left_anti")
     return neighbours(words, known).withColumn("sim", F.round("sim", 5))
 
@@ -194,7 +238,7 @@ def nearest_words(spark, folder):
 @query(f"""WITH {_POSTS}, {_LEXICON}, {_ASKED_SQL}, {_NEAR}, fix AS (SELECT token, word FROM near WHERE sim >= 0.42 AND NOT starts_with(token, word) AND NOT starts_with(word, token))
 SELECT qid, string_agg(coalesce(word, token), ' ' ORDER BY at_no) AS suggestion FROM tok LEFT JOIN fix USING (token) GROUP BY qid HAVING count(word) > 0""")
 def suggest(spark, folder):
-    return suggest_words(_asked(spark), R.lexicon(_pages(spark, folder)))
+    return suggest_words(_asked(spark), stored.index(spark, folder).lexicon(spark))
 
 
 # ------------------------------------------------------------------ vectors and fusion
@@ -214,19 +258,32 @@ def _requests(spark: SparkSession, folder: str, texts: list[str], types: list[st
     return [R.Request(k, q, types[k] if types else None, vector=vectors[k] if k < len(vectors) else None) for k, q in enumerate(texts)]
 
 
-@query(f"WITH {_VECTORS} SELECT qid, url, round(distance, 5) AS distance FROM near")
+_EVERY = f"""{_LATEST}, q AS (SELECT id AS qid, embedding AS v FROM pages WHERE id % 20 = 0 AND {_USABLE}),
+near AS (SELECT qid, url, 1 - list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS distance FROM p, q WHERE ok AND {_USABLE} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, url) <= 100)"""
+
+
+@query(f"WITH {_EVERY} SELECT qid, count(*) AS n, round(max(distance), 5) AS last, round(sum(distance), 4) AS total FROM near GROUP BY qid")
 def knn_cosine(spark, folder):
+    """The nearest pages of every page whose id is divisible by 20; equals may stand in any order, so their distances are compared."""
+    asked = read(spark, folder, "pages").where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
+    near = R.vector_neighbours(_pages(spark, folder), asked)
+    return near.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("distance"), 5).alias("last"), F.round(F.sum("distance"), 4).alias("total"))
+
+
+@query(f"WITH {_VECTORS} SELECT qid, url, round(distance, 5) AS distance FROM near")
+def knn_requests(spark, folder):
+    """The nearest pages of a batch of requests."""
     asked = _requests(spark, folder, ["a"] * 5)
     return R.vector_candidates(_pages(spark, folder), asked).select("qid", "url", F.round("distance", 5).alias("distance"))
 
 
-@query(f"WITH {_VECTORS}, g AS (SELECT qid FROM near GROUP BY qid HAVING count(*) < 3 OR max(distance) - min(distance) >= 0.86) SELECT qid, count(*) AS n FROM near JOIN g USING (qid) GROUP BY qid")
+@query(f"WITH {_VECTORS} SELECT qid, false AS alike, count(*) AS n FROM near GROUP BY qid UNION ALL SELECT qid, true, 2 FROM q")
 def uniform_guard(spark, folder):
-    """The guard with a bound so wide that it drops some of the queries."""
-    from dataclasses import replace
-
-    asked = _requests(spark, folder, ["a"] * 5)
-    return R.vector_candidates(_pages(spark, folder), asked, replace(DEFAULT, uniform_eps=0.86)).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    """Requests keep their candidates, but have none where all pages have the same vector, unless these are less than three."""
+    asked, pages = _requests(spark, folder, ["a"] * 5), _pages(spark, folder)
+    same = pages.withColumn("embedding", F.array(*[F.lit(float(k % 3 + 1)).cast("float") for k in range(DEFAULT.embedding_dim)]))
+    count = lambda df, alike: df.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).withColumn("alike", F.lit(alike))
+    return count(R.vector_candidates(pages, asked), False).unionByName(count(R.vector_candidates(same, asked), True)).unionByName(count(R.vector_candidates(same.where("ok").orderBy("url").limit(2), asked), True))
 
 
 _LEX = _POSTS[len(_LATEST) + 2 :]
@@ -238,7 +295,7 @@ _POOL = "pool AS (SELECT qid, url, rel, row_number() OVER (PARTITION BY qid ORDE
 @query(f"""WITH {_VECTORS}, {_LEXICAL}, {_POOL} SELECT qid, url, round(sum(1.0::DOUBLE / (61 + rank)), 5) AS fused FROM (SELECT qid, url, rank FROM pool UNION ALL SELECT qid, url, rank FROM near) GROUP BY qid, url""")
 def rrf_fusion(spark, folder):
     pages, asked = _pages(spark, folder), _requests(spark, folder, _TERMS)
-    words = R.top(R.lexical(pages, asked), [F.desc("rel"), F.col("url")], 145)
+    words = R.top(R.lexical(pages, asked, index=stored.index(spark, folder)), [F.desc("rel"), F.col("url")], 145)
     return R.fuse(words, R.vector_candidates(pages, asked)).withColumn("fused", F.round("fused", 5))
 
 
@@ -246,7 +303,7 @@ def rrf_fusion(spark, folder):
 admitted AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, url) - 1 AS place FROM (SELECT qid, url, max(rel) AS rel FROM both_lists GROUP BY qid, url) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rel DESC, url) <= 145)
 SELECT qid, url, round(rel, 5) AS rel, round(CASE WHEN rel > 0 THEN 1.0::DOUBLE / (61 + place) ELSE 0 END + coalesce(1.0::DOUBLE / (61 + near.rank), 0), 5) AS fused FROM admitted LEFT JOIN near USING (qid, url)""")
 def vector_pull_gate(spark, folder):
-    found = ranking.candidates(_pages(spark, folder), _requests(spark, folder, _TERMS))
+    found = ranking.candidates(_pages(spark, folder), _requests(spark, folder, _TERMS), index=stored.index(spark, folder))
     return found.select("qid", "url", F.round("rel", 5).alias("rel"), F.round("fused", 5).alias("fused"))
 
 
@@ -256,7 +313,11 @@ def vector_pull_gate(spark, folder):
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     """Every page with the word ``relay``, scored without vectors and previews: ``qid`` 1."""
     pages = _pages(spark, folder)
-    rel = R.rank_any(R.postings(pages, ("relay",))).select(F.lit(1).cast("bigint").alias("qid"), F.lit("recent relay news").alias("q"), "url", "rel", F.lit(0.0).alias("fused"), F.lit(False).alias("vectors"), F.lit(False).alias("all_junk"))
+    rel = R.rank_any(_posts(spark, folder, "relay")).select(F.lit(1).cast("bigint").alias("qid"), F.lit("recent relay news").alias("q"), "url", "rel", F.lit(0.0).alias("fused"), F.lit(False).alias("vectors"), F.lit(False).alias("all_junk"))
+    return _scored_of(spark, folder, rel, pages)
+
+
+def _scored_of(spark: SparkSession, folder: str, rel: DataFrame, pages: DataFrame) -> DataFrame:
     nodes = read(spark, folder, "nodes").select(F.col("dest_hash").alias("node_hash"), "announce_count")
     clicks = D.clicks(D.click_events(spark, folder)).select("url", "clicks")
     rows = rel.join(pages, "url").join(nodes, "node_hash", "left").join(inbound_links(read(spark, folder, "links")).withColumnRenamed("to_url", "url"), "url", "left").join(clicks, "url", "left")
@@ -264,15 +325,27 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _KIND = "CASE WHEN coalesce(inferred_type, type, '?') = 'file-index' AND coalesce(type, '?') IN ('news', 'article', 'blog', 'status', 'product', 'event') THEN 'file-index' ELSE coalesce(nullif(coalesce(type, '?'), ''), nullif(inferred_type, ''), 'index') END"
-_SCORED = f"""{_POSTS}, rel AS (SELECT url, sum(w)::DOUBLE AS rel FROM posts WHERE lexeme = 'relay' GROUP BY url),
-inb AS (SELECT to_url AS url, count(*) AS n FROM links GROUP BY to_url), clk AS (SELECT p.url, count(*) AS n FROM events e JOIN pages p ON p.id = e.user_id WHERE e.event_type = 'click' GROUP BY p.url),
+_SCORES = f"""inb AS (SELECT to_url AS url, count(*) AS n FROM links GROUP BY to_url), clk AS (SELECT p.url, count(*) AS n FROM events e JOIN pages p ON p.id = e.user_id WHERE e.event_type = 'click' GROUP BY p.url),
 parts AS (SELECT p.*, rel, coalesce(inb.n, 0) AS inbound, coalesce(clk.n, 0) AS clicks, CASE WHEN coalesce(n.announce_count, 0) = 0 THEN 1 ELSE n.announce_count END AS announces, {_KIND} AS kind,
-  coalesce(md_date, last_changed, p.first_seen, fetched_at) AS eff FROM rel JOIN p USING (url) LEFT JOIN nodes n ON n.dest_hash = p.node_hash LEFT JOIN inb USING (url) LEFT JOIN clk USING (url)),
-s AS (SELECT url, node_hash, canonical, content_hash, round(rel * (1 + 0.4 * coalesce(md_declared, false)::INT) * (1 + ln(1 + announces) * 0.1) * (1.15 - least(coalesce(fetch_ms, 3000), 15000) / 15000.0 * 0.30)
+  coalesce(md_date, last_changed, p.first_seen, fetched_at) AS eff, relevance, lexical, penalty FROM rel JOIN p USING (url) LEFT JOIN nodes n ON n.dest_hash = p.node_hash LEFT JOIN inb USING (url) LEFT JOIN clk USING (url)),
+s AS (SELECT url, title, node_hash, canonical, content_hash, round((relevance * (1 + 0.4 * coalesce(md_declared, false)::INT) * (1 + ln(1 + announces) * 0.1) * (1.15 - least(coalesce(fetch_ms, 3000), 15000) / 15000.0 * 0.30)
   * CASE WHEN eff IS NULL OR kind IN ('wiki', 'dataset', 'file-index', 'index') THEN 1.0::DOUBLE ELSE 1 + CASE kind WHEN 'news' THEN 1.0 WHEN 'status' THEN 0.9 WHEN 'article' THEN 0.55 WHEN 'blog' THEN 0.55 WHEN 'product' THEN 0.65 ELSE 0.2 END
     * pow(0.5, greatest((epoch_us(TIMESTAMPTZ '2025-07-01 00:00:00+00') - epoch_us(eff)) / 86400000000.0, 0) / CASE kind WHEN 'news' THEN 7 WHEN 'status' THEN 3 WHEN 'article' THEN 45 WHEN 'blog' THEN 45 WHEN 'product' THEN 30 ELSE 60 END) END
   * CASE kind WHEN 'news' THEN 1.35 WHEN 'article' THEN 1.15 WHEN 'blog' THEN 1.15 WHEN 'status' THEN 1.2 WHEN 'wiki' THEN 0.4 ELSE 1.0 END
-  + ln(1 + clicks) * 0.3 + ln(1 + inbound) * 0.2, 5) AS score FROM parts)"""
+  + CASE WHEN lexical THEN ln(1 + clicks) * 0.3 + ln(1 + inbound) * 0.2 ELSE 0 END) * penalty, 5) AS score FROM parts)"""
+_SCORED = f"{_POSTS}, rel AS (SELECT url, sum(w)::DOUBLE AS rel, sum(w)::DOUBLE AS relevance, true AS lexical, 1.0 AS penalty FROM posts WHERE lexeme = 'relay' GROUP BY url), {_SCORES}"
+_GATED = f"""{_POSTS}, found AS (SELECT url, sum(w)::DOUBLE AS w FROM posts WHERE lexeme = 'relay' GROUP BY url),
+rel AS (SELECT p.url, coalesce(w, 0) AS rel, CASE WHEN embedding IS NOT NULL THEN 0.015::DOUBLE ELSE coalesce(w, 0) END AS relevance, coalesce(w, 0) > 0 OR embedding IS NULL AS lexical, CASE WHEN coalesce(title, '') LIKE '%a%' THEN 0.85::DOUBLE ELSE 1 END AS penalty FROM p LEFT JOIN found USING (url) WHERE ok), {_SCORES}"""
+
+
+@query(f"WITH {_GATED} SELECT url, score FROM s")
+def score_gates(spark, folder):
+    """Every good page: with vectors those that words match and those that only their vectors bring in, without vectors all; some have nothing but junk to show."""
+    pages = _pages(spark, folder).where("ok")
+    words = R.rank_any(_posts(spark, folder, "relay"))
+    rel = pages.select("url", F.col("embedding").isNotNull().alias("vectors"), F.coalesce("title", F.lit("")).like("%a%").alias("all_junk")).join(words, "url", "left")
+    rel = rel.select(F.lit(1).cast("bigint").alias("qid"), F.lit("recent relay news").alias("q"), "url", F.coalesce("rel", F.lit(0.0)).alias("rel"), F.lit(0.015).alias("fused"), "vectors", "all_junk")
+    return _scored_of(spark, folder, rel, pages).select("url", "score")
 
 
 @query(f"WITH {_SCORED} SELECT url, score FROM s")
@@ -280,7 +353,7 @@ def score_stack(spark, folder):
     return _scored(spark, folder).select("url", "score")
 
 
-_FOLDED = f"{_SCORED}, f AS (SELECT *, coalesce(nullif(canonical, ''), nullif(content_hash, ''), url) AS k FROM s), d AS (SELECT url, node_hash, score, nullif(count(*) OVER (PARTITION BY k) - 1, 0)::INT AS also_on FROM f QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, url) = 1)"
+_FOLDED = f"{_SCORED}, f AS (SELECT *, coalesce(nullif(canonical, ''), nullif(content_hash, ''), url) AS k FROM s), d AS (SELECT url, title, node_hash, score, nullif(count(*) OVER (PARTITION BY k) - 1, 0)::INT AS also_on FROM f QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, url) = 1)"
 
 
 @query(f"WITH {_FOLDED} SELECT url, also_on FROM d")
@@ -323,13 +396,14 @@ def _hits(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(F.lit(1).cast("bigint").alias("qid"), place.alias("pos"), F.col("source").alias("book"), F.col("title").alias("path"), "title", F.col("lang").alias("book_title"), F.left("text", F.lit(80)).alias("snippet"))
 
 
-@query(f"""WITH {_HITS}, h AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY pos) - 1 AS i FROM hits), r AS (SELECT 'wiki:/page/read.mu#' || rtrim(replace(replace(base64(encode(book || chr(10) || path)), '+', '-'), '/', '_'), '=') AS url, title, round(0.8 * (n - i) / n, 5) AS score FROM h WHERE book <> '' AND path <> '')
-SELECT r.url, r.title, round(score + ln(1 + coalesce(i.n, 0)) * 0.2, 5) AS score FROM r LEFT JOIN (SELECT to_url AS url, count(*) AS n FROM links GROUP BY to_url) i USING (url)""")
+@query(f"""WITH {_PLACED}, {_HITS}, h AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY pos) - 1 AS i FROM hits), r AS (SELECT 'wiki:/page/read.mu#' || rtrim(replace(replace(base64(encode(book || chr(10) || path)), '+', '-'), '/', '_'), '=') AS url, title, round(0.8 * (n - i) / n, 5) AS score FROM h WHERE book <> '' AND path <> '')
+SELECT r.url, r.title, round(score + ln(1 + coalesce(i.n, 0)) * 0.2, 5) AS score FROM r LEFT JOIN (SELECT to_url AS url, count(*) AS n FROM links GROUP BY to_url) i USING (url)
+UNION ALL SELECT url, title, score FROM o""")
 def federated_union(spark, folder):
     hits = federation.federated(_hits(spark, folder), "wiki")
     clicks = D.clicks(D.click_events(spark, folder))
-    none = _placed(spark, folder).limit(0).drop("pos")
-    return federation.merged(none, hits, read(spark, folder, "links"), clicks).select("url", "title", "score")
+    own = _placed(spark, folder).drop("pos").join(_pages(spark, folder).select("url", "title"), "url")
+    return federation.merged(own, hits, read(spark, folder, "links"), clicks).select("url", "title", "score")
 
 
 _FLAGSHIP = ["routing table", "recent news antenna", '"bulletin board" or "routing table"', "relay -crawler", "buy antenna", "library"]
@@ -340,5 +414,5 @@ def search(spark, folder):
     """Hybrid search for a batch of requests: words, vectors, fusion, scores, previews, folding and spreading."""
     asked = _requests(spark, folder, _FLAGSHIP, [None, None, None, None, "product", "wiki"])
     clicks = D.clicks(D.click_events(spark, folder))
-    found = ranking.search(_pages(spark, folder), read(spark, folder, "nodes"), read(spark, folder, "links"), clicks, asked, AS_OF)
+    found = ranking.search(_pages(spark, folder), read(spark, folder, "nodes"), read(spark, folder, "links"), clicks, asked, AS_OF, index=stored.index(spark, folder))
     return results.page_of(results.node_crowding(results.folded(found)), 0, 10)

@@ -44,10 +44,10 @@ def test_service(spark):
     folder = "/root/testdata/sf0.001"
     pages = derived.latest_pages(tables.read(spark, folder, "pages")).cache()
     clicks = derived.clicks(derived.click_events(spark, folder))
-    from meshloom.operators import retrieval
+    from meshloom.plans import stored
 
-    logged = []
-    service = Service(spark, {"pages": pages, "nodes": tables.read(spark, folder, "nodes"), "links": tables.read(spark, folder, "links"), "clicks": clicks, "lexicon": retrieval.lexicon(pages)}, AS_OF, log=lambda name, rows: logged.append((name, rows.collect())))
+    logged, index = [], stored.index(spark, folder)
+    service = Service(spark, {"pages": pages, "nodes": tables.read(spark, folder, "nodes"), "links": tables.read(spark, folder, "links"), "clicks": clicks, "lexicon": index.lexicon(spark).cache()}, AS_OF, index=index, log=lambda name, rows: logged.append((name, rows.collect())))
     assert service.handle("{")["err"] == "bad_encoding" and service.handle("[1]")["err"] == "bad_encoding"
     assert service.handle({"op": "__manifest__"})["ok"] and service.handle({"op": "search", "v": 2, "id": 5}) == {"v": 1, "ok": False, "err": "bad_version", "id": 5}
     assert service.handle({"op": "x", "v": 1})["err"] == "bad_op" and service.handle({"op": "search", "v": 1, "q": " "})["err"] == "missing_field"

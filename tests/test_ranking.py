@@ -7,8 +7,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from meshloom.functions.analyzer import english, simple
 from meshloom.functions.querylang import parse
 from meshloom.operators import results, retrieval, upserts
+from meshloom.operators.index import build
 from meshloom.operators.ranking import search
 from meshloom.operators.snippets import OFF, ON, passages
 from meshloom.operators.suggest import suggest
@@ -123,7 +125,6 @@ def test_popularity_needs_a_match(spark):
 
 
 def test_the_english_analyzer(spark):
-    from meshloom.functions.analyzer import english
 
     pages = _page(spark, id=1, url="a", title="Dogs", content="The running relays of the hill", ok=True).unionByName(_page(spark, id=2, url="b", title="cat", content="a dog and the relay", ok=True)).unionByName(_page(spark, id=3, url="c", title=None, content=None, ok=True))
     rel = lambda q, **k: {r.url: round(r.rel, 3) for r in retrieval.lexical(pages, [retrieval.Request(1, q)], **k).collect()}
@@ -131,3 +132,31 @@ def test_the_english_analyzer(spark):
     assert rel("the relay", lexeme=english) == {"a": 0.1, "b": 0.1} and rel("the", lexeme=english) == {}
     assert rel('"run relay"', lexeme=english) == {"a": 0.1} and rel("relay -cats", lexeme=english) == {"a": 0.1}
     assert {r.word: r.df for r in retrieval.lexicon(pages, 2, english).collect()} == {"dog": 2, "relay": 2}
+
+
+def test_an_index_gives_what_the_pages_do(spark, tmp_path):
+    rows = [("a", "running dogs on the relay", "dog dog relay"), ("b", None, "the relay runs"), ("c", "cats", ""), ("d", None, None), ("e", "relay", "bulletin board of the relay")]
+    page = dict.fromkeys(tables.PAGES.names) | {"ok": True}
+    pages = spark.createDataFrame([tuple((page | {"id": k, "url": u, "title": t, "content": c, "type": "wiki" if u == "a" else None}).values()) for k, (u, t, c) in enumerate(rows)] + [tuple((page | {"url": "z", "title": "relay", "ok": False}).values())], tables.PAGES)
+    for lexeme in (simple, english):
+        index = build(pages, str(tmp_path / lexeme.__name__), lexeme, 4, 2)
+        for q, kind in (("relay", None), ("relay dog", None), ("relay or cats", None), ("relay -dog", None), ("-relay", None), ('"bulletin board"', None), ("relay", "wiki"), ("absent", None), ("the", None), (" ", None), ("dog relay runs", None)):
+            asked = [retrieval.Request(1, q, kind)]
+            want = {tuple(r) for r in retrieval.lexical(pages, asked, lexeme).collect()}
+            assert {tuple(r) for r in retrieval.lexical(pages, asked, lexeme, index).collect()} == want, q
+        assert {tuple(r) for r in index.lexicon(spark).collect()} == {tuple(r) for r in retrieval.lexicon(pages, 2, lexeme).collect()}
+    assert build(pages.limit(0), str(tmp_path / "none")).postings(spark, ("relay",)).count() == 0
+
+
+def test_vectors_in_blocks(spark):
+    rng = random.Random(3)
+    vectors = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(90)] + [None, [0.0] * 64, [float("nan")] * 64, [1.0]]
+    page = dict.fromkeys(tables.PAGES.names) | {"ok": True}
+    pages = spark.createDataFrame([tuple((page | {"id": k, "url": f"u{k}", "embedding": v}).values()) for k, v in enumerate(vectors)], tables.PAGES)
+    asked = pages.select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
+    one = {tuple(r) for r in retrieval.vector_neighbours(pages, asked).select("qid", "url", "rank").collect()}
+    some = {tuple(r) for r in retrieval.vector_neighbours(pages, asked, block=7, broadcast_blocks=2).select("qid", "url", "rank").collect()}
+    batch = [retrieval.Request(k, "a", vector=tuple(map(float, v))) for k, v in enumerate(vectors[:90])]
+    want = {tuple(r) for r in retrieval.vector_candidates(pages, batch).select("qid", "url", "rank").collect()}
+    assert one == some and len(one) == 8100 and len(one - want) < 20  # the table holds the vectors in single precision
+    assert retrieval.vector_neighbours(pages, asked.limit(0)).count() == 0 and retrieval.vector_neighbours(pages.limit(0), asked).count() == 0
