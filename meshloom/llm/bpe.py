@@ -3,13 +3,13 @@
 The distinct pieces of a batch are put into numpy matrices by length, one row a piece, padded with
 -1. Each round every row merges its leftmost pair of least rank; pair ranks come from an open-addressing
 hash table over the vocabulary. Only the two pairs beside a merge are looked up again, the row is
-compacted to the left, and rows without a further merge leave the matrix.
+compacted to the left, and rows without a further merge leave the matrix. A row of its own, as a very long piece is,
+merges its pair of least rank in each round wherever it stands, as far as one merge can't bear on another.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -26,7 +26,7 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 NONE = np.int64(1) << 40
-#: Pieces longer than this many bytes are merged with a heap, whose work grows as n log n.
+#: Pieces longer than this many bytes are rows of their own.
 LONG = 256
 _WIDTHS = (2, 4, 8, 16, 32, 64, 128, LONG)
 #: Characters of text worked on at once.
@@ -59,6 +59,12 @@ class PairTable:
             self.keys[slot[put]], self.values[slot[put]] = key[put], value[put]
             key, value, slot = key[~put], value[~put], slot[~put]
             slot = np.where(self.keys[slot] >= 0, (slot + 1) & (size - 1), slot)
+        # tokens that are part of one of less rank, which then goes first
+        used = self.keys >= 0
+        part = np.maximum(self.keys[used] >> 32, self.keys[used] & 0xFFFFFFFF)
+        self.early = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.early[part[self.values[used] < part]] = True
+        self.longest = max(map(len, ranks))
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * _MULTIPLIER) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -112,40 +118,29 @@ class PairTable:
         return done
 
     def merge_long(self, piece: bytes) -> np.ndarray:
-        """The same merges of one long piece: a heap of pairs by rank and place over a linked list."""
+        """The same merges of one long piece: all pairs of least rank in a round, of overlapping ones every other from the left.
+
+        Where the merged token is part of one of less rank, that one would go before the next merge. Then only the leftmost of those
+        goes that are closer than the longest token, as what follows from a merge reaches no further.
+        """
         ids = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)]
-        n = len(ids)
         ranks = self.rank(ids[:-1], ids[1:])
-        heap = [(int(r), int(i)) for i, r in enumerate(ranks) if r < NONE]
-        heapq.heapify(heap)
-        ids, ranks, after, before = ids.tolist(), [*ranks.tolist(), NONE], list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = bytearray(b"\x01" * n)
-        table = {}
-
-        def rank(i: int, j: int) -> int:
-            pair = (ids[i], ids[j])
-            if pair not in table:
-                table[pair] = int(self.rank(np.array([pair[0]]), np.array([pair[1]]))[0])
-            return table[pair]
-
-        while heap:
-            r, i = heapq.heappop(heap)
-            if not alive[i] or ranks[i] != r:
-                continue
-            j = after[i]
-            ids[i], alive[j], after[i] = r, 0, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                ranks[i] = rank(i, after[i])
-                if ranks[i] < NONE:
-                    heapq.heappush(heap, (ranks[i], i))
+        while len(ranks) and (low := ranks.min()) < NONE:
+            at = np.flatnonzero(ranks == low)
+            if self.early[low]:
+                at = at[np.concatenate([[True], np.diff(at) > self.longest])]
             else:
-                ranks[i] = NONE
-            if (h := before[i]) >= 0:
-                ranks[h] = rank(h, i)
-                if ranks[h] < NONE:
-                    heapq.heappush(heap, (ranks[h], h))
-        return np.array([ids[i] for i in range(n) if alive[i]], dtype=np.int32)
+                new = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
+                at = at[(np.arange(len(at)) - np.repeat(new, np.diff(np.concatenate([new, [len(at)]])))) % 2 == 0]
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at + 1] = False
+            ids[at] = low
+            ids, ranks = ids[keep], np.append(ranks, NONE)[keep][:-1]
+            own = at - np.arange(len(at))
+            near = np.concatenate([own - 1, own])
+            near = near[(near >= 0) & (near < len(ranks))]
+            ranks[near] = self.rank(ids[near], ids[near + 1])
+        return ids.astype(np.int32)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece, worked out bucket by bucket of length."""

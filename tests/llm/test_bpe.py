@@ -48,6 +48,19 @@ def test_long_pieces_take_the_same_merges():
         assert TABLE.merge_long(word.encode()).tolist() == TABLE.merge_rows(ids)[0].tolist() == wanted(word)
 
 
+def test_long_pieces_of_many_kinds():
+    rng = random.Random(5)
+    vocabulary = [t.decode() for t in RANKS if t.isalpha() and t.isascii() and len(t) > 3][:3000]
+    kinds = [
+        lambda n: "".join(rng.choice(vocabulary) for _ in range(n // 6)), lambda n: "".join(chr(97 + rng.randrange(26)) for _ in range(n)), lambda n: "a" * n, lambda n: ("ab" * n)[:n],
+        lambda n: rng.choice(vocabulary) * (n // 6), lambda n: "".join(rng.choice("étàñçЖ北🛰") for _ in range(n // 3)),
+    ]
+    for n in (257, 258, 1000, 9000):
+        for make in kinds:
+            word = make(n)
+            assert TABLE.merge_long(word.encode()).tolist() == REFERENCE._core_bpe.encode_single_piece(word.encode())
+
+
 def test_all_documents_round_trip(spark):
     from meshloom.sources.tables import read
 
