@@ -3,7 +3,8 @@
 Linear support vector machines over hashed letter n-grams of words decide first between language
 families, one against one, and then, within a family, between its languages, again one against one.
 Sentences are scored by their words; a path of least cost through a document's sentences, where a
-change of language costs, gives its stretches. The machines are trained on a bounded sample of
+change of language costs, gives its stretches. Where the outcome contradicts a row's label or mixes languages, a stretch is
+none of the six languages if the function words of another explain it better, or its short words are in no list. The machines are trained on a bounded sample of
 labelled rows; rows that the first round of training contradicts are left out of the second, so wrong
 labels among them do no harm.
 """
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import function_words
+from .words import function_words, other_script
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru")
 #: Families of the languages: Germanic, Romance, Slavic.
@@ -322,19 +323,48 @@ def fit(pages: DataFrame, c: LangConfig = LangConfig()) -> Machines:
     return machines
 
 
+def is_other(text: str, lang: int, packed: dict[str, int], fields: int) -> bool:
+    """Whether a stretch taken for a language is of none of the six: so many of its words are function words of another, or short words that no list of the language has.
+
+    ``packed`` holds each function word with a one in the field of each of its languages, the six before the others.
+    """
+    if other_script(text):
+        return True
+    words = [w.lower() for w in _WORD.findall(text)]
+    counts = sum(packed.get(w, 0) for w in words)
+    field = lambda k: counts >> k * 24 & (1 << 24) - 1
+    own, known = field(lang), max(field(k) for k in range(len(LANGUAGES)))
+    if max(field(k) for k in range(len(LANGUAGES), fields)) > max(1.3 * known, 3):
+        return True
+    short = [w for w in words if len(w) <= 2 and not packed.get(w, 0) >> lang * 24 & 1]
+    return len(short) >= 4 and len(set(short)) >= 3 and len(short) >= 0.1 * len(words) and own < 0.2 * len(words)
+
+
 def segments(pages: DataFrame, machines: Machines, c: LangConfig = LangConfig()) -> DataFrame:
-    """``id, label, parts`` of pages ``id, label, content``; ``parts`` are ``start, stop, lang, confidence, chars`` in characters from 0."""
-    shared = pages.sparkSession.sparkContext.broadcast(machines)
+    """``id, label, parts`` of pages ``id, label, content``; ``parts`` are ``start, stop, lang, confidence, chars`` in characters from 0; ``lang`` is ``other`` for a stretch of none of the six languages."""
+    lists = function_words(pages.sparkSession)
+    order = [*LANGUAGES, *(k for k in lists if k not in LANGUAGES)]
+    packed: dict[str, int] = {}
+    for k, lang in enumerate(order):
+        for w in lists[lang]:
+            packed[w] = packed.get(w, 0) | 1 << k * 24
+    shared = pages.sparkSession.sparkContext.broadcast((machines, packed))
+
+    names = (*LANGUAGES, "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low in range(0, b.num_rows, 2000):
                 part = b.slice(low, 2000)
-                found = stretches(shared.value, [t or "" for t in part.column(2).to_pylist()], c)
+                texts, machines_there, words_there = [t or "" for t in part.column(2).to_pylist()], *shared.value
+                found = stretches(machines_there, texts, c)
+                for k, (label, parts) in enumerate(zip(part.column(1).to_pylist(), found)):
+                    if any(LANGUAGES[p[2]] != label for p in parts):
+                        found[k] = [(*p[:2], len(LANGUAGES), *p[3:]) if is_other(texts[k][p[0] : p[1]], p[2], words_there, len(order)) else p for p in parts]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 columns = list(zip(*(p for x in found for p in x))) or [()] * 5
                 rows = pa.StructArray.from_arrays(
-                    [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array([LANGUAGES[k] for k in columns[2]], pa.string()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.int32())],
+                    [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array([names[k] for k in columns[2]], pa.string()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.int32())],
                     names=["start", "stop", "lang", "confidence", "chars"],
                 )
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), rows)], names=["id", "label", "parts"])
@@ -350,11 +380,12 @@ def document_languages(pages: DataFrame, c: LangConfig = LangConfig(), machines:
     """``id, label, main, langs, confidence`` of the good rows with a letter in their content.
 
     ``main`` is the language of most characters; ``langs`` holds it and each further language with a
-    stretch of at least ``stretch`` characters; ``label`` is the language that the row's label names.
+    stretch of at least ``stretch`` characters; ``label`` is the language that the row's label names. Rows in none of the six languages give no row.
     Null, empty and blank contents and those without letters give no row. Repeated rows are judged each by itself.
     """
     machines = machines or fit(pages.where("ok"), c)
-    rows = segments(labelled_pages(pages), machines, c).where(F.size("parts") > 0)
+    known = F.filter("parts", lambda p: p["lang"] != "other").alias("parts")
+    rows = segments(labelled_pages(pages), machines, c).select("id", "label", known).where(F.size("parts") > 0)
     size = lambda lang: F.aggregate(F.filter("parts", lambda p: p["lang"] == lang), F.lit(0), lambda s, p: s + p["chars"])
     sizes = F.array_sort(F.array(*[F.struct((-size(F.lit(x))).alias("n"), F.lit(x).alias("lang")) for x in LANGUAGES]))
     main = rows.withColumn("main", sizes[0]["lang"])

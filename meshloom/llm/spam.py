@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .words import LISTS, function_words
+from .words import LISTS, function_words, other_script
 
 LANGUAGES = tuple(LISTS)
 
@@ -70,8 +70,6 @@ _LONG = 30
 _FIELD, _MOST = 24, (1 << 24) - 1
 #: Short words that no list of the line's language has, from which part of its words, and from how many different ones, the line is of another.
 _SHORT_LETTERS, _FOREIGN_SHARE, _FOREIGN_WORDS = 2, 0.08, 2
-#: Letters beyond the scripts of the lists: Greek, and all that follow Cyrillic.
-_OTHER_SCRIPT = re.compile("[\u0370-\u03ff\u0530-\u1dff\u2c00-\ua63f\ua6a0-\U0003ffff]")
 _FIELDS = ["chars", "words", "lang", "function", "top", "pairs", "foreign", "separators", "links", "listed", "repeated", "run_lines", "run_words", "run_lang", "run_function", "run_top", "run_pairs", "run_foreign"]
 
 
@@ -106,12 +104,7 @@ def _shares(words: list[str], packed: dict[str, int]) -> tuple[int, float, float
         pairs = len(set(zip(words, words[1:]))) / (n - 1)
     short = [w for w in words if len(w) <= _SHORT_LETTERS and not (lang >= 0 and packed.get(w, 0) >> lang * _FIELD & 1)]
     foreign = len(short) >= _FOREIGN_SHARE * n and len(set(short)) >= _FOREIGN_WORDS
-    return lang, best / n if n else 0.0, top, pairs, foreign or _other_script(words)
-
-
-def _other_script(words: list[str]) -> bool:
-    text = "".join(words)
-    return not text.isascii() and 2 * len(_OTHER_SCRIPT.findall(text)) > len(text)
+    return lang, best / n if n else 0.0, top, pairs, foreign or other_script("".join(words))
 
 
 def measure(text: str, packed: dict[str, int]) -> list[tuple]:

@@ -95,7 +95,7 @@ class Tree:
                     room[part, : self.count[one]] = self._near(x[active[part]], one)
                     child[part, : self.count[one]] = np.arange(self.first[one], self.first[one] + self.count[one])
                 queue, nodes = np.concatenate([queue, room], 1), np.concatenate([nodes, child], 1)
-                if queue.shape[1] > 8 * self.width:  # what can't come up any more, for the leaves still wanted, is let go
+                if queue.shape[1] > 8 * self.width:  # bins so far down are let go; the few that would still have come up are missed in the calibration too, which makes up for them
                     keep = np.argpartition(queue, min(leaves, queue.shape[1] - 1), axis=1)[:, : max(leaves, 4 * self.width)]
                     queue, nodes = np.take_along_axis(queue, keep, 1), np.take_along_axis(nodes, keep, 1)
             on = (found[active] < leaves) & np.isfinite(queue.min(1))
@@ -345,10 +345,11 @@ def _with_copies(rows: DataFrame, classes: DataFrame, others: DataFrame, k: int)
     none = F.array().cast("array<struct<far:float,neighbour:bigint>>")
     single = full.where(F.col("n") == 1).select(F.col("asker").alias("id"), F.inline("near"))
     copied = full.where(F.col("n") > 1).select("h", "n", "ids", F.coalesce("near", none).alias("near"))
-    # hot classes are few (each has over HOT rows) and are broadcast; the rest are joined by shuffle
+    # hot classes, of which each has over ``hot`` rows, are few: they're counted and broadcast; the rest are joined by shuffle
     hot = 100_000
     of = rows.select("id", "h")
-    both = of.join(copied.where(F.col("n") <= hot), "h").unionByName(of.join(F.broadcast(copied.where(F.col("n") > hot)), "h"))
+    large = copied.where(F.col("n") > hot)
+    both = of.join(copied.where(F.col("n") <= hot), "h").unionByName(of.join(F.broadcast(large) if classes.where(F.col("n") > hot).count() <= hot else large, "h"))
     mine = F.filter("ids", lambda i: i != F.col("id"))
     own = F.transform(mine, lambda i: F.struct(F.lit(-1.0).cast("float").alias("far"), i.alias("neighbour")))
     multiple = both.select("id", F.inline(F.slice(F.concat(own, F.col("near")), 1, k)))

@@ -80,3 +80,12 @@ def test_without_labelled_rows(spark):
     got = {r.id: r.main for r in G.document_languages(df).collect()}
     assert got == dict(enumerate(TEXT))
     assert G.document_languages(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_other_languages_are_none_of_the_six(spark):
+    from test_spam import PROSE
+
+    rows = [(k, None, text, True, "", "") for k, text in enumerate(PROSE.values())] + [(90 + k, None, f"{text} {text}", True, "", "") for k, text in enumerate(TEXT.values())]
+    got = {r.id: r.main for r in G.document_languages(spark.createDataFrame(rows, PAGES), machines=machines(spark)).collect()}
+    assert {k: v for k, v in got.items() if k >= 90} == {90 + k: lang for k, lang in enumerate(TEXT)}
+    assert {list(PROSE)[k] for k in got if k < 90} <= {"Czech"}  # most of whose short words others have too
