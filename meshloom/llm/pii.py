@@ -330,6 +330,8 @@ def detect(text: str | None, names: Names) -> list[tuple[int, int, str]]:
 
 #: Conflicts up to this number are broadcast, more are joined.
 BROADCAST_ROWS = 300_000
+#: Components with their attempts and replacements.
+SPLIT = "kind string, value string, attempt int, new string"
 
 
 def _is_given(word: str, hit: str, names: Names) -> bool:
@@ -430,16 +432,17 @@ def conflicts(found: DataFrame, names: Names, secret: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=["kind", "value", "attempt", "new"])
 
     parts = found.select("kind", "hit").distinct().mapInArrow(split, "kind string, value string").distinct()
-    parts = materialise(parts.withColumn("attempt", F.lit(0)))
-    real = parts.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
+    made = materialise(parts.withColumn("attempt", F.lit(0)).mapInArrow(replaced, SPLIT))
+    real = made.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
     for _ in range(ATTEMPTS):  # words grow with the attempts, so none is left without a replacement unless something is wrong
-        made = materialise(parts.mapInArrow(replaced, "kind string, value string, attempt int, new string"))
         keeps = made.groupBy("kind", "new").agg(F.min("value").alias("keeps"), F.count(F.lit(1)).alias("n"))
         clash = keeps.join(real, ["kind", "new"], "left").where((F.col("n") > 1) | F.col("real"))
-        losers = materialise(made.join(clash, ["kind", "new"]).where((F.col("value") != F.col("keeps")) | F.col("real")).select("kind", "value", F.lit(1).alias("again")))
+        losers = materialise(made.join(clash, ["kind", "new"]).where((F.col("value") != F.col("keeps")) | F.col("real")).select("kind", "value"))
         if losers.isEmpty():
-            return parts.where("attempt > 0")
-        parts = materialise(parts.join(losers, ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")))
+            return made.where("attempt > 0").drop("new")
+        # only those that lost are worked out anew
+        other = made.join(losers, ["kind", "value"]).select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(replaced, SPLIT)
+        made = materialise(made.join(losers, ["kind", "value"], "left_anti").unionByName(other))
     raise RuntimeError(f"after {ATTEMPTS} attempts some surrogates aren't distinct yet")
 
 
