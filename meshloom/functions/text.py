@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -121,7 +123,9 @@ def junk_ratio(text: Column) -> Column:
 
 
 def is_binary(path: Column) -> Column:
-    return F.lower(path).rlike(BINARY_PATH)
+    # within a function of its own the path is worked out once, whatever expression it is
+    ends = lambda low: reduce(or_, [F.endswith(low, F.lit(e)) for e in BINARY_ENDINGS], F.startswith(low, F.lit("/file/")))
+    return F.exists(F.array(F.lower(path)), ends)
 
 
 def may_enqueue(path: Column) -> Column:

@@ -340,13 +340,13 @@ def upsert_links(spark, folder):
     return U.record_links(old, again).select("from_url", "to_url", "label")
 
 
-_NEW_TARGETS = f"SELECT DISTINCT split_part(to_url, ':', 1) AS node_hash, substr(to_url, strpos(to_url, ':') + 1) || e AS path, to_url || e AS url FROM links, (SELECT unnest({_ENDINGS!r}) AS e) WHERE to_url LIKE '%:/page/%'"
+_NEW_TARGETS = f"SELECT DISTINCT split_part(to_url, ':', 1) AS node_hash, substr(to_url, strpos(to_url, ':') + 1) || e AS path, to_url || e AS url FROM links, (SELECT unnest(['', '.epub', '.7z', '/read.mu']) AS e) WHERE to_url LIKE '%:/page/%'"
 
 
 @query(f"""WITH {_QUEUE} SELECT url, node_hash, path FROM ({_NEW_TARGETS}) WHERE NOT {_DOWNLOAD} AND NOT ends_with(path, '/read.mu') AND url NOT IN (SELECT url FROM queue) AND url NOT IN (SELECT url FROM pages WHERE ok AND fetched_at > {_AS_OF} - INTERVAL 720 HOUR)""")
 def enqueue_fresh(spark, folder):
     links = read(spark, folder, "links").where(F.col("to_url").like("%:/page/%"))
-    ends = links.select("to_url", F.explode(F.array(*[F.lit(e) for e in _ENDINGS])).alias("e"))
+    ends = links.select("to_url", F.explode(F.array(*[F.lit(e) for e in ("", ".epub", ".7z", "/read.mu")])).alias("e"))
     path = F.concat(F.regexp_extract("to_url", "(?s)^[^:]*:(.*)$", 1), "e")
     targets = ends.select(F.substring_index("to_url", ":", 1).alias("node_hash"), path.alias("path"), F.lit(5).alias("priority")).where(X.may_enqueue(F.col("path")))
     return U.enqueue(D.crawl_queue(spark, folder, AS_OF), targets, read(spark, folder, "pages"), AS_OF, 720).select("url", "node_hash", "path")
